@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from stratalens.llm.mixing import op5_mix
+from stratalens.llm.quality import op6_quality_rules
 
-QUERIES = {"op5_mix": op5_mix}
+QUERIES = {"op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules}
 
 ORACLE: dict[str, str] = {}
