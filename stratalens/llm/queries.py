@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from stratalens.llm.langid import op2_language_id
 from stratalens.llm.mixing import op5_mix
 from stratalens.llm.quality import op6_quality_rules
 
-QUERIES = {"op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op2_language_id": op2_language_id, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules}
 
 ORACLE: dict[str, str] = {}
