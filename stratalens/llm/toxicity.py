@@ -136,7 +136,7 @@ def train(texts: list[str | None], labels: np.ndarray) -> dict:
     n1, n0 = int(y.sum()), int((labels == 0).sum())
     pos, neg = np.bincount(feat[y[row]], minlength=candidates.size), np.bincount(feat[~y[row]], minlength=candidates.size)
     gain = (pos / n1 - neg / n0) / np.sqrt((pos + neg + 1) / (n1 + n0))
-    fit = (pos >= min(2, n1)) & (pos * n0 > 8 * (neg + 0.2) * n1)
+    fit = (pos >= (2 if n1 >= 12 else min(3, n1))) & (pos * n0 > 8 * (neg + 0.2) * n1)
     ranked = np.flatnonzero(fit)[np.argsort(-gain[fit], kind="stable")]
     if not ranked.size:
         return none
@@ -168,8 +168,8 @@ def train(texts: list[str | None], labels: np.ndarray) -> dict:
         error = 1 / (1 + np.exp(-z)) - post
         grad = np.append(np.bincount(feat, error[row] * value[row], d) / len(texts) + 2e-6 * w, error.mean())
         m += 0.1 * (grad - m)
-        v += 0.01 * (grad * grad - v)
-        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-9)
+        v += 0.05 * (grad * grad - v)
+        move = 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.95**t)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
     vocabulary = candidates[ranked]
     order = np.argsort(vocabulary)

@@ -29,7 +29,7 @@ def test_held_out_scores(spark, sf):
 def test_accuracy_on_unseen_texts():
     rng = np.random.default_rng(2)
     clean, bad = ["tree", "house", "water", "stone", "light", "green"], ["vilewort", "vilemug", "grotscum"]
-    text = lambda toxic: " ".join([*rng.choice(clean, 40), *(rng.choice(bad, 3) if toxic else [])])
+    text = lambda toxic: " ".join([*rng.choice(clean, 40), *(rng.choice(bad, 2, replace=False) if toxic else [])])
     y = (np.arange(600) % 5 == 0).astype(int)
     model = toxicity.train([text(t) for t in y], y)
     score, _ = toxicity.score(pa.array([text(t) for t in y] + ["tree vilewortish vilemug"]), model)
