@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from stratalens.llm.langid import op2_language_id
 from stratalens.llm.mixing import op5_mix
+from stratalens.llm.pii import op9_pii
 from stratalens.llm.quality import op6_quality_rules
 from stratalens.llm.toxicity import op3_toxicity
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules}
+QUERIES = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op9_pii": op9_pii}
 
 ORACLE: dict[str, str] = {}
