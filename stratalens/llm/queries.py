@@ -6,8 +6,9 @@ from stratalens.llm.langid import op2_language_id
 from stratalens.llm.mixing import op5_mix
 from stratalens.llm.pii import op9_pii
 from stratalens.llm.quality import op6_quality_rules
+from stratalens.llm.tokens import op10_token_counts
 from stratalens.llm.toxicity import op3_toxicity
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op9_pii": op9_pii}
+QUERIES = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
 
 ORACLE: dict[str, str] = {}
