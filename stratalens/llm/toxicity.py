@@ -22,7 +22,7 @@ from stratalens.llm.storage import table
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 #: Bound of the training sample, in hash order of doc_id.
-TRAIN_ROWS = 8_000
+TRAIN_ROWS = 6_000
 VOTERS, FEATURES = 160, 4_000
 NGRAMS = (4, 5, 6)
 PREFIXES = (3, 5, 7, 9)
@@ -119,19 +119,22 @@ def train(texts: list[str | None], labels: np.ndarray) -> dict:
     none = {"vocabulary": np.zeros(0, np.uint64), "weights": np.zeros(0), "bias": -4.0}
     if not len(texts) or not (labels == 1).any() or not (labels == 0).any():
         return none
-    parts, low, step = [], 0, 200
-    while low < len(texts):
-        row, feat = _pairs(pa.array(texts[low : low + step], pa.large_string()))
-        toxic = np.unique(feat[labels[low + row] == 1])  # others can't be voters
-        parts.append((low + row, feat, toxic))
-        low += step
-    candidates = np.unique(np.concatenate([p[2] for p in parts]))
-    kept = []
+    # First the features of toxic rows alone (others can't be voters), then who has them.
+    def runs(which: np.ndarray, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for low in range(0, which.size, 100):
+            part = which[low : low + 100]
+            row, feat = _pairs(pa.array([texts[i] for i in part], pa.large_string()), keep)
+            yield part[row], feat
+
+    seen, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    for _, feat in runs(np.flatnonzero(labels == 1)):
+        seen, back = np.unique(np.concatenate([seen, feat]), return_inverse=True)
+        times = np.bincount(back, np.concatenate([times, np.ones(feat.size, np.int64)]), seen.size).astype(np.int64)
+    candidates = seen[times >= min(2, int((labels == 1).sum()))]
     slots = _slots(candidates)
-    for row, feat, _ in parts:
-        at, place = _find(feat, candidates, slots)
-        kept.append((row[at], place))
-    row, feat = np.concatenate([k[0] for k in kept]), np.concatenate([k[1] for k in kept])
+    found = [(row, feat) for row, feat in runs(np.arange(len(texts)), lambda h: _find(h, candidates, slots))]
+    row, feat = np.concatenate([k[0] for k in found]).astype(np.int32), np.concatenate([k[1] for k in found]).astype(np.int32)
+    del found
     y = labels == 1
     n1, n0 = int(y.sum()), int((labels == 0).sum())
     pos, neg = np.bincount(feat[y[row]], minlength=candidates.size), np.bincount(feat[~y[row]], minlength=candidates.size)
