@@ -29,14 +29,15 @@ PREFIXES = (3, 5, 7, 9)
 PREDICTED_AT = 0.7
 TABLE_BITS = 20
 ROUNDS, STEPS = 25, 700
+SLICE = 1 << 19  # bytes of text at once: a text's features take some hundred times its size
 
 
 def _raw_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(row, hash) arrays: words, their beginnings, and n-grams within words, of the lower-cased texts."""
     raw, at = text_bytes(pc.utf8_lower(column))
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
-    cuts = np.cumsum(~letter)
-    row_of = np.repeat(np.arange(at.size - 1), np.diff(at))
+    cuts = np.cumsum(~letter, dtype=np.int32)
+    row_of = np.repeat(np.arange(at.size - 1, dtype=np.int32), np.diff(at))
     spans = Spans(raw)
     first, last = letter.copy(), letter.copy()
     first[1:] &= ~letter[:-1]
@@ -210,7 +211,7 @@ def toxicity(docs: DataFrame, model: dict, predicted_at: float = PREDICTED_AT) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, "text", SLICE):
                 value, count = score(part.column("text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(value, pa.float64()), pa.array((value >= predicted_at).astype(np.int32)), pa.array(count, pa.int64())], ["doc_id", "score", "predicted", "n_evidence"])
 
