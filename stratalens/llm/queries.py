@@ -7,9 +7,10 @@ from stratalens.llm.mixing import op5_mix
 from stratalens.llm.neardup import op7_near_dedup
 from stratalens.llm.pii import op9_pii
 from stratalens.llm.quality import op6_quality_rules
+from stratalens.llm.suffixes import op1_suffix_dedup
 from stratalens.llm.tokens import op10_token_counts
 from stratalens.llm.toxicity import op3_toxicity
 
-QUERIES = {"op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op7_near_dedup": op7_near_dedup, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op7_near_dedup": op7_near_dedup, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
 
 ORACLE: dict[str, str] = {}
