@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stratalens.llm.decontaminate import op4_decontaminate
 from stratalens.llm.langid import op2_language_id
 from stratalens.llm.lines import op8_line_dedup
 from stratalens.llm.mixing import op5_mix
@@ -12,6 +13,6 @@ from stratalens.llm.suffixes import op1_suffix_dedup
 from stratalens.llm.tokens import op10_token_counts
 from stratalens.llm.toxicity import op3_toxicity
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op2_language_id": op2_language_id, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_mix": op5_mix, "op6_quality_rules": op6_quality_rules, "op7_near_dedup": op7_near_dedup, "op8_line_dedup": op8_line_dedup, "op9_pii": op9_pii, "op10_token_counts": op10_token_counts}
 
 ORACLE: dict[str, str] = {}
