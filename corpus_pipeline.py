@@ -1,17 +1,75 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages from raw documents to a mix of sources.
+
+Each stage takes (spark, docs, sf_dir), works on every row its predecessor kept, and returns the columns of `documents`; the last
+returns the mix. Nulls, empty texts, repeated rows, empty tables and further columns go through every stage as the operators'
+docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratalens.llm.decontaminate import contamination
+from stratalens.llm.langid import fit, training_rows, with_language
+from stratalens.llm.lines import dedup_lines
+from stratalens.llm.mixing import mix
+from stratalens.llm.neardup import near_duplicates
+from stratalens.llm.storage import table, written
+
+#: A document stays if one language has at least this share of its text.
+LEAST_SHARE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a language (null, empty, no letters) and texts of which no language has half."""
+    found = with_language(docs, fit(training_rows(docs)))
+    kept = found.filter((F.col("language.lang_pred") != "und") & (F.col("language.score") >= LEAST_SHARE))
+    return kept.select(*docs.columns)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Deletes later copies of repeated line runs; a document of which no word is left goes. n_chars follows the text."""
+    found = dedup_lines(docs)
+    gone = (F.col("line_dedup.n_removed") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    length = F.length("text").cast("long")
+    return found.filter(~gone).select(*[F.when(F.col("line_dedup.n_removed") > 0, length).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays, the one with the least id (five-word shingles, similarity 0.8)."""
+    stays = near_duplicates(docs, width=5).filter("kept and doc_id is not null").select(F.col("doc_id").alias("stays")).distinct()
+    known = docs.join(stays, docs.doc_id == stays.stays, "left_semi").dropDuplicates(["doc_id"])
+    return known.unionByName(docs.filter("doc_id is null"))
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to a tenth of it in edits, go."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("contamination") == 0).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of each document that is left."""
+    return mix(docs)[0]
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", decontamination_stage),
+    ("source_mixing", mixing_stage),
+]
 
-#: Learned models and sketches have no SQL form; tests hold the stages against brute force.
+#: Learned models, sketches and edit distances have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents of `sf_dir`."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, name)
     return docs

@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -275,6 +276,22 @@ def language_id(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
+def with_language(docs: DataFrame, model: dict) -> DataFrame:
+    """`docs` (text, any others) with a struct column `language` of lang_pred and score, as language_id gives them."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        langs, scores = [], []
+        for part in slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string(), from_pandas=True)], ["text"])):
+            out = label(part.column("text"), shared.value)
+            langs += out["lang_pred"]
+            scores.append(out["score"])
+        return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
+
+    run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
+    return docs.withColumn("language", F.pandas_udf(run, "lang_pred string, score double")("text"))
+
+
 def held_out(modulus: int, remainder: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus)) == remainder
 
