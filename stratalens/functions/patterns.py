@@ -135,3 +135,38 @@ TEST_FRAMEWORKS = [
     ("googletest", r".*_test\.cpp|.*_test\.cc|.*Test\.cpp", r"TEST(?:_[FP])?\s*\(\s*\w+\s*,\s*(\w+)"),
     ("kotest", r".*Test\.kt|.*Spec\.kt", r"""test\s*\(\s*['"]([^'"]+)['"]"""),
 ]
+
+# Function definitions at the start of a line (language, pattern, group of the name), in order.
+FUNCTIONS = [
+    ("python", r"^(?:async\s+)?def\s+(\w+)\s*\(([^)]*)\):", 1),
+    ("javascript", r"^(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)", 1),
+    ("javascript", r"^(?:export\s+)?(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)\s*=>", 1),
+    ("javascript", r"^(\w+)\s*:\s*(?:async\s*)?function\s*\(([^)]*)\)", 1),
+    ("typescript", r"^(?:export\s+)?(?:async\s+)?function\s+(\w+)\s*\(([^)]*)\)(?:\s*:\s*[^{]+)?", 1),
+    ("typescript", r"^(?:export\s+)?(?:const|let)\s+(\w+)\s*=\s*(?:async\s*)?\(([^)]*)\)(?:\s*:\s*[^=]+)?\s*=>", 1),
+    ("typescript", r"^(?:public|private|protected)?\s*(?:async\s+)?(\w+)\s*\(([^)]*)\)(?:\s*:\s*[^{]+)?\s*\{", 1),
+    ("java", r"^(?:public|private|protected)?\s*(?:static\s+)?(?:final\s+)?(?:synchronized\s+)?(?:\w+(?:<[^>]+>)?)\s+(\w+)\s*\(([^)]*)\)", 1),
+    ("c", r"^(?:static\s+)?(?:inline\s+)?(?:\w+\s+)+(\w+)\s*\(([^)]*)\)\s*\{", 1),
+    ("cpp", r"^(?:(?:\w+\s+)+)?(\w+)\s*\(([^)]*)\)(?:\s*const)?(?:\s*override)?(?:\s*final)?\s*(?::\s*[^{]+)?\s*\{", 1),
+    ("cpp", r"^(\w+)::(\w+)\s*\(([^)]*)\)", 2),
+    ("go", r"^func\s+(?:\(([^)]+)\)\s+)?(\w+)\s*\(([^)]*)\)", 2),
+    ("rust", r"^(?:pub\s+)?(?:async\s+)?fn\s+(\w+)\s*(?:<[^>]+>)?\s*\(([^)]*)\)", 1),
+]
+
+# Imports (language, pattern, group of the module).
+IMPORTS = [
+    ("python", r"^from\s+([\w.]+)\s+import\s", 1),
+    ("python", r"^import\s+([\w.,\s]+)", 1),
+    ("javascript", r"""import\s+(?:(\{[^}]+\})|(\w+)|(?:\*\s+as\s+(\w+)))\s+from\s+['"]([^'"]+)['"]""", 4),
+    ("javascript", r"""require\s*\(['"]([^'"]+)['"]\)""", 1),
+    ("typescript", r"""import\s+(?:(\{[^}]+\})|(\w+)|(?:\*\s+as\s+(\w+)))\s+from\s+['"]([^'"]+)['"]""", 4),
+    ("java", r"import\s+([\w.]+);", 1),
+    ("go", r"""import\s+['"]([^'"]+)['"]""", 1),
+    ("rust", r"use\s+([\w:]+)", 1),
+]
+
+# Environment variables in code.
+ENVIRONMENT = [r"""os\.environ(?:get)?\s*[\[\(]\s*['"]([A-Z_][A-Z0-9_]*)['"]""", r"process\.env\.([A-Z_][A-Z0-9_]*)", r"dotenv\.([A-Z_][A-Z0-9_]*)"]
+
+# Languages of source files.
+SOURCE_LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "hpp": "cpp", "go": "go", "rs": "rust"}
