@@ -141,8 +141,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     ranges = written(every.groupBy(*_AT).agg(F.collect_list(F.struct("seq", "size")).alias("__ranges")), "line-ranges")
     spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
     cut = F.pandas_udf(_cut, "text string, n_lines long, n_removed long, n_runs long")
-    # The ranges come to the rows that have any; a row's struct is computed once.
-    found = base.join(ranges, _AT, "left").withColumn("__cut", cut(F.col("text"), F.col("__ranges")))
+    # By merging at every size: ranges are small next to texts only on small tables.
+    found = base.join(ranges.hint("merge"), _AT, "left").withColumn("__cut", cut(F.col("text"), F.col("__ranges")))
     return found.withColumn("text", F.col("__cut.text")).withColumn("line_dedup", F.struct("__cut.n_lines", "__cut.n_removed", "__cut.n_runs")).select(*docs.columns, "line_dedup")
 
 
