@@ -111,6 +111,20 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["mini", "doc", "tie", "start", "size", "key", "context"])
 
 
+def _sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys (from 0), and their dense ranks (from 1) in that order; sorts key and index as one number if they fit."""
+    bits = max(1, (keys.size - 1).bit_length())
+    if keys.size and int(keys.max()).bit_length() + bits < 63:
+        packed = np.sort((keys << bits) | np.arange(keys.size))
+        order, keys = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(keys)
+        keys = keys[order]
+    new = np.ones(keys.size, bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return order, np.cumsum(new)
+
+
 def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     """Positions of `s` (values from 1) in the order of their suffixes; equal prefixes of `depth` may come in any order.
 
@@ -123,17 +137,18 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     base = int(s.max()) + 1
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)  # position n, when n % 3 == 1, parts the two halves
     sample = np.concatenate([one, two])
-    high = padded[sample] * base + padded[sample + 1]
-    order = np.argsort(high * base + padded[sample + 2], kind="stable") if base < 2_000_000 else np.lexsort((padded[sample + 2], high))
-    new = np.ones(sample.size, bool)
-    new[1:] = (high[order][1:] != high[order][:-1]) | (padded[sample + 2][order][1:] != padded[sample + 2][order][:-1])
+    if base < 1 << 20:
+        order, ranks = _sorted((padded[sample] * base + padded[sample + 1]) * base + padded[sample + 2])
+    else:  # name the pairs first
+        order, ranks = _sorted(padded[sample] * base + padded[sample + 1])
+        pair = np.empty(sample.size, np.int64)
+        pair[order] = ranks
+        order, ranks = _sorted(pair * base + padded[sample + 2])
     names = np.empty(sample.size, np.int64)
-    names[order] = np.cumsum(new)
-    if depth > 3 and not new.all():
+    names[order] = ranks
+    if depth > 3 and ranks[-1] < sample.size:
         order = suffix_array(names, -(-depth // 3) + 1)
-        place = np.empty(sample.size, np.int64)
-        place[order] = np.arange(1, sample.size + 1)
-        names = place
+        names[order] = np.arange(1, sample.size + 1)
     rank = np.zeros(n + 5, np.int64)
     rank[sample] = names
     sample_order = sample[order]
@@ -141,7 +156,7 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     rest = np.arange(0, n, 3)
     top = int(names.max()) + 2
     key = padded[rest] * top + rank[rest + 1]
-    by = np.argsort(key, kind="stable")
+    by = _sorted(key)[0]
     rest, key = rest[by], key[by]
     # How many sampled suffixes come before each of the others: those at 1 and at 2 modulo 3 are compared in their own way.
     ones, twos = sample_order[sample_order % 3 == 1], sample_order[sample_order % 3 == 2]
@@ -151,6 +166,8 @@ def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
     else:
         pairs, back = np.unique(np.concatenate([padded[twos] * base + padded[twos + 1], padded[rest] * base + padded[rest + 1]]), return_inverse=True)
         before += np.searchsorted(back[: twos.size] * top + rank[twos + 2], back[twos.size :] * top + rank[rest + 2])
+    # Among suffixes that agree to the depth asked for, ranks may contradict one another: any order will do, but one it must be.
+    before = np.maximum.accumulate(before)
     out = np.empty(n, np.int64)
     spots = before + np.arange(rest.size)
     out[spots] = rest
@@ -186,7 +203,33 @@ def repeated_starts(contexts: list[bytes], order: np.ndarray) -> np.ndarray:
     return out
 
 
+def _trimmed(contexts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The contexts cut to the stretch from their first to their last window whose hash another window here shares, their
+    numbers, and the bytes cut off in front; contexts without such a window have nothing to sort."""
+    sizes = np.array([len(c) + 1 for c in contexts])
+    ends = np.cumsum(sizes)
+    hashes = Spans(np.frombuffer(b"".join(c + b"\0" for c in contexts), np.uint8)).windows(LENGTH)
+    begins = ends - sizes
+    valid = np.zeros(ends[-1] + 1, np.int32)
+    np.add.at(valid, begins, 1)
+    np.add.at(valid, np.maximum(ends - LENGTH, begins), -1)
+    at = np.flatnonzero(np.cumsum(valid)[: hashes.size] > 0)
+    order, ranks = _sorted((hashes[at] >> np.uint64(1)).astype(np.int64))
+    twice = at[order][np.bincount(ranks)[ranks] > 1]
+    owner = np.searchsorted(ends, twice, "right")
+    first, last = np.full(sizes.size, np.iinfo(np.int64).max), np.full(sizes.size, -1)
+    np.minimum.at(first, owner, twice)
+    np.maximum.at(last, owner, twice)
+    kept = np.flatnonzero(last >= 0)
+    low, high = (first - begins)[kept], (last - begins)[kept] + LENGTH
+    return [contexts[k][a:b] for k, a, b in zip(kept.tolist(), low.tolist(), high.tolist(), strict=True)], kept, low
+
+
 def _ranges(contexts: list[bytes], doc: np.ndarray, tie: np.ndarray, start: np.ndarray) -> pa.RecordBatch:
+    contexts, kept, offsets = _trimmed(contexts)
+    doc, tie, start = doc[kept], tie[kept], start[kept] + offsets
+    if not contexts:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.int64()), pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64())], ["doc", "tie", "low", "high"])
     sizes = np.array([len(c) + 1 for c in contexts])
     owner = np.repeat(np.arange(sizes.size), sizes)
     offset = np.arange(owner.size) - np.repeat(np.cumsum(sizes) - sizes, sizes)
