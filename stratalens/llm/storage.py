@@ -17,6 +17,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Smaller Arrow batches for the session: texts are long, and a worker holds a batch several times over."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def written(df: DataFrame, tag: str, partitions: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lost executors then cost no recomputation.
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table, written
+from stratalens.llm.storage import bounded_batches, table, written
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 LENGTH = 100
@@ -28,7 +28,7 @@ GRAM = 32
 #: Grams in a window.
 REACH = LENGTH - GRAM + 1
 #: Bytes of contexts that a task sorts at once (a minimizer's contexts are never parted).
-SORT_BYTES = 2 << 20
+SORT_BYTES = 1 << 20
 _NULL_ID = (1 << 63) - 1
 
 
@@ -307,12 +307,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     others. Texts under LENGTH bytes stay whole. Other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     minis = base.mapInArrow(_minimizers, "mini long, doc long, tie int, place long")
     twice = minis.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mini"))).filter("n > 1")
     places = written(twice.groupBy("doc", "tie").agg(F.collect_set("place").alias("places")), "places")
     _collect_garbage(spark)
-    contexts = written(base.join(places, ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(_contexts, CONTEXTS), "contexts")
+    contexts = written(base.join(places.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(_contexts, CONTEXTS), "contexts")
     _collect_garbage(spark)
     place = F.struct("doc", "tie", "start")
     keyed = contexts.filter("key is not null").withColumn("key2", F.xxhash64("context"))
@@ -324,7 +325,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     within = contexts.filter("key is null").select("doc", "tie", *ends)
     ranges = written(sorted_.union(later).union(within).groupBy("doc", "tie").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
     _collect_garbage(spark)
-    found = base.join(ranges, ["doc", "tie"], "left").select("doc", "text", "ranges").mapInArrow(_remove, REMOVED)
+    found = base.join(ranges.hint("merge"), ["doc", "tie"], "left").select("doc", "text", "ranges").mapInArrow(_remove, REMOVED)
     return found.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
