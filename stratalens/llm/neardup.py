@@ -5,9 +5,10 @@ for candidate search, and are folded into an odd sketch, a bitmap of parities: t
 estimates high similarities precisely. Candidates whose estimate is far below the threshold are dropped (their samples differ
 by many standard deviations); the others are confirmed on their full shingle sets.
 
-A band's members are never paired with one another. Members are linked with the band's least member, first the best estimate of
-each node, then the rest where components still differ; last, where a band still holds several components, members of different
-components are compared by sketch. So no link between sharing members is lost, and pairs within a component are never made.
+A band's members are never paired with one another while one link does: in rounds, members are linked with one member of the
+band's largest component, and components are found; members of one component need no more links. Last, where a band still holds
+several components, members of different ones are compared by sketch, each with each. So no link between sharing members is
+lost, and pairs within a component are never made.
 At similarity 0.8 two documents share no band with probability (1 - 0.8^8)^64 < 1e-5.
 """
 
@@ -27,8 +28,10 @@ from stratalens.llm.textbytes import Spans, lower_ascii, mix64, slices, text_byt
 BANDS, ROWS = 64, 8
 HASHES = BANDS * ROWS
 SKETCH_BITS = 1024
-#: Of similarity: 0.8 must hold exactly; estimates (standard deviation below 0.02) under this cannot belong to such pairs.
-THRESHOLD, LEAST_ESTIMATE = 80, 0.65
+#: Of similarity: 0.8 must hold exactly; estimates (standard deviation below 0.02) under LEAST_ESTIMATE don't belong to such pairs.
+THRESHOLD, LEAST_ESTIMATE = 80, 0.7
+#: Star rounds: bands from, to, and whether every member is confirmed or the best estimate of each node.
+STAR_ROUNDS = ((0, 4, False), (4, 16, False), (0, BANDS, True))
 _rng = np.random.default_rng(77)
 _XOR = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32)
 _MULTIPLY = _rng.integers(0, 1 << 32, HASHES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -118,6 +121,36 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, threshold: int) ->
     return written(full.mapInArrow(_confirm(width, threshold), "u long, v long, linked boolean").filter("linked").select("u", "v"), "links")
 
 
+def _size_fits(a: Column, b: Column, threshold: int) -> Column:
+    return 100 * F.least(a, b) >= threshold * F.greatest(a, b)
+
+
+def _mixed(nodes: DataFrame, found: DataFrame | None, low: int, high: int) -> DataFrame:
+    """Members (band, doc_id, component, top) of the bands from `low` to `high` that hold several components; `top` is the least
+    document of the band's largest component."""
+    if found is None:
+        placed = nodes.select("doc_id", "bands", F.col("doc_id").alias("component"), F.lit(1).cast("long").alias("weight"))
+    else:
+        weight = found.groupBy("component").agg(F.count(F.lit(1)).alias("weight"))
+        placed = nodes.join(found.join(weight, "component").withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        placed = placed.select("doc_id", "bands", F.coalesce("component", "doc_id").alias("component"), F.coalesce("weight", F.lit(1)).alias("weight"))
+    placed = written(placed.withColumn("bands", F.slice("bands", low + 1, high - low)), "placed")
+    members = placed.select("doc_id", "component", "weight", F.explode("bands").alias("band"))
+    # The rank says the same as the document: the largest is the least document of the least component among the heaviest.
+    rank = F.struct("weight", -F.col("component"), -F.col("doc_id"))
+    tops = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(rank).alias("r")).filter("a != b")
+    top = F.struct((-F.col("r.col2")).alias("component"), (-F.col("r.col3")).alias("doc_id")).alias("top")
+    return members.join(tops.select("band", top), "band").select("band", "doc_id", "component", "top")
+
+
+def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
+    """`pairs` (u, v) that sizes and sketches allow, with the estimate e."""
+    left = sketches.select(F.col("doc_id").alias("u"), F.col("odd").alias("odd_u"), F.col("n_shingles").alias("n_u"))
+    right = sketches.select(F.col("doc_id").alias("v"), F.col("odd").alias("odd_v"), F.col("n_shingles").alias("n_v"))
+    both = pairs.join(left, "u").join(right, "v").filter(_size_fits(F.col("n_u"), F.col("n_v"), threshold))
+    return written(both.select("u", "v", estimate("odd_u", "odd_v").alias("e")).filter(F.col("e") >= LEAST_ESTIMATE), "stars")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, n_shingles, component_id and kept.
 
@@ -131,38 +164,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     classes = sets.groupBy("sig_a", "sig_b", "n_shingles").agg(F.min("doc_id").alias("node"))
     # One row for each node: a class, under its least document. Copies within a class need no comparison.
     nodes = written(sets.join(classes.select("sig_a", "sig_b", F.col("node").alias("doc_id")), ["sig_a", "sig_b", "doc_id"]).dropDuplicates(["sig_a", "sig_b"]).select("doc_id", "n_shingles", "bands", "odd"), "nodes")
-    members = nodes.select("doc_id", "n_shingles", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.min("doc_id").alias("v"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    in_bands = written(members.join(shared, "band").select("band", "doc_id", "n_shingles", "v", "n"), "bands")
-    sketches = nodes.select("doc_id", "odd", "n_shingles")
-    size_fits = lambda a, b: (100 * F.least(a, b) >= threshold * F.greatest(a, b))
-    stars = in_bands.filter("doc_id != v").select(F.col("doc_id").alias("u"), "v").distinct()
-    stars = stars.join(sketches.select(F.col("doc_id").alias("u"), F.col("odd").alias("odd_u"), F.col("n_shingles").alias("n_u")), "u").join(sketches.select(F.col("doc_id").alias("v"), F.col("odd").alias("odd_v"), F.col("n_shingles").alias("n_v")), "v")
-    stars = written(stars.filter(size_fits(F.col("n_u"), F.col("n_v"))).select("u", "v", estimate("odd_u", "odd_v").alias("e")).filter(F.col("e") >= LEAST_ESTIMATE), "stars")
-    wanted = in_bands.select("doc_id").distinct()
+    shared = nodes.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b")
+    # Only documents that share a band with another are read again.
+    wanted = written(nodes.select("doc_id", F.explode("bands").alias("band")).join(shared, "band", "left_semi").select("doc_id").distinct(), "wanted")
+    nodes = written(nodes.join(wanted, "doc_id", "left_semi"), "nodes")
     texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
-    best = stars.groupBy("u").agg(F.max_by("v", F.struct("e", -F.col("v"))).alias("v"))
-    links = confirmed(best, texts, width, threshold)
-    found = components(links)
-
-    def apart(pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends are in different components so far."""
-        left = found.select(F.col("node").alias("u"), F.col("component").alias("c_u"))
-        right = found.select(F.col("node").alias("v"), F.col("component").alias("c_v"))
-        return pairs.join(left, "u", "left").join(right, "v", "left").filter(F.coalesce("c_u", "u") != F.coalesce("c_v", "v")).select("u", "v")
-
-    rest = apart(stars.select("u", "v").join(best, ["u", "v"], "left_anti"))
-    links = written(links.union(confirmed(rest, texts, width, threshold)), "links")
-    found = components(links)
-    # Bands of three and more members that still hold several components.
-    placed = in_bands.filter("n > 2").select("band", "doc_id", "v").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b").select("band")
-    open_ = written(placed.join(mixed, "band", "left_semi").filter("doc_id != v").join(sketches, "doc_id").select("band", "doc_id", "component", "odd", "n_shingles"), "open")
-    a, b = open_.alias("a"), open_.alias("b")
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") > F.col("b.component")) & size_fits(F.col("a.n_shingles"), F.col("b.n_shingles")) & (estimate("a.odd", "b.odd") >= LEAST_ESTIMATE)
-    cross = a.join(b, on).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct()
-    cross_links = confirmed(cross, texts, width, threshold)
-    found = components(links.union(cross_links)).withColumnRenamed("node", "doc_id_n")
+    sketches = nodes.select("doc_id", "odd", "n_shingles")
+    links, found = None, None
+    for low, high, every in STAR_ROUNDS:
+        band = _mixed(nodes, found, low, high)
+        stars = band.filter(F.col("component") != F.col("top.component")).select(F.col("doc_id").alias("u"), F.col("top.doc_id").alias("v")).distinct()
+        stars = _estimated(stars, sketches, threshold)
+        pairs = stars.select("u", "v") if every else stars.groupBy("u").agg(F.max_by("v", F.struct("e", -F.col("v"))).alias("v"))
+        new = confirmed(pairs, texts, width, threshold)
+        links = new if links is None else written(links.union(new), "links")
+        found = components(links)
+    # What is left: bands that still hold several components; members of different ones are compared by sketch.
+    left = written(_mixed(nodes, found, 0, BANDS).select("band", "doc_id", "component").join(sketches, "doc_id"), "left")
+    a, b = left.alias("a"), left.alias("b")
+    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") > F.col("b.component")) & _size_fits(F.col("a.n_shingles"), F.col("b.n_shingles"), threshold) & (estimate("a.odd", "b.odd") >= LEAST_ESTIMATE)
+    cross = written(a.join(b, on).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "cross")
+    found = components(links.union(confirmed(cross, texts, width, threshold))).withColumnRenamed("node", "doc_id_n")
     by_class = classes.join(found, classes.node == found.doc_id_n, "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
     rows = made.select("doc_id", "n_shingles", "sig_a", "sig_b").join(by_class, ["sig_a", "sig_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
