@@ -29,7 +29,7 @@ BANDS, ROWS = 64, 8
 HASHES = BANDS * ROWS
 SKETCH_BITS = 1024
 #: Of similarity: 0.8 must hold exactly; estimates (standard deviation below 0.02) under LEAST_ESTIMATE don't belong to such pairs.
-THRESHOLD, LEAST_ESTIMATE = 80, 0.7
+THRESHOLD, LEAST_ESTIMATE = 80, 0.72
 #: Star rounds: bands from, to, and whether every member is confirmed or the best estimate of each node.
 STAR_ROUNDS = ((0, 4, False), (4, 16, False), (0, BANDS, True))
 _rng = np.random.default_rng(77)
@@ -179,11 +179,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
         new = confirmed(pairs, texts, width, threshold)
         links = new if links is None else written(links.union(new), "links")
         found = components(links)
-    # What is left: bands that still hold several components; members of different ones are compared by sketch.
-    left = written(_mixed(nodes, found, 0, BANDS).select("band", "doc_id", "component").join(sketches, "doc_id"), "left")
+    # What is left: bands that still hold several components; members of different ones are compared by sketch. A pair is
+    # looked at in the first band that it shares.
+    left = _mixed(nodes, found, 0, BANDS).select("band", "doc_id", "component").join(nodes, "doc_id")
+    left = written(left.withColumn("at", F.array_position("bands", F.col("band"))), "left")
     a, b = left.alias("a"), left.alias("b")
-    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") > F.col("b.component")) & _size_fits(F.col("a.n_shingles"), F.col("b.n_shingles"), threshold) & (estimate("a.odd", "b.odd") >= LEAST_ESTIMATE)
-    cross = written(a.join(b, on).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "cross")
+    on = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") > F.col("b.component")) & _size_fits(F.col("a.n_shingles"), F.col("b.n_shingles"), threshold)
+    on = on & (estimate("a.odd", "b.odd") >= LEAST_ESTIMATE) & (F.expr("array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true)") == F.col("a.at"))
+    cross = written(a.join(b, on).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")), "cross")
     found = components(links.union(confirmed(cross, texts, width, threshold))).withColumnRenamed("node", "doc_id_n")
     by_class = classes.join(found, classes.node == found.doc_id_n, "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
     rows = made.select("doc_id", "n_shingles", "sig_a", "sig_b").join(by_class, ["sig_a", "sig_b"], "left")
