@@ -6,6 +6,7 @@ from stratalens.functions import text as T
 from stratalens.operators import catalog, code, graph, reports, scan, search
 from stratalens.sources import manifests
 from stratalens.sources.corpus import FILES, MANIFESTS
+from stratalens.plans import review_queries
 from stratalens.streaming import changes
 
 
@@ -95,3 +96,8 @@ def test_incremental_table(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     reports.write(spark.range(5).withColumn("p", F.col("id") % 2), f"{tmp_path}/t", "json", ["p"])
     assert spark.read.json(f"{tmp_path}/t").count() == 5
+
+
+def test_reviews(spark):
+    assert {(r.name, r.comment) for r in review_queries.q_comments_above(spark, "").collect()} == {("add", "Adds."), ("run", "Runs it.")}
+    assert {r.id: r.valid for r in review_queries.q_verified(spark, "").collect()} == {1: True, 2: False, 3: False}
