@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table
+from stratalens.llm.storage import bounded_batches, table
 from stratalens.llm.textbytes import slices, text_bytes
 
 RATIO = 0.1
@@ -200,13 +200,14 @@ def _searcher(shared):
     return search
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """`docs` (text, any others) with a column `contamination` of the items (benchmark: item_id, text) in each text.
+def contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, block_bytes: int = BLOCK_BYTES, into: str = "contamination") -> DataFrame:
+    """`docs` (text, any others) with a column `into` of the items (benchmark: item_id, text) in each text.
 
     Null and empty texts and items match nothing; repeated rows are searched one by one; items that share an id are searched one
     by one; an empty benchmark matches nothing. Texts are searched as a whole.
     """
     context = docs.sparkSession.sparkContext
+    bounded_batches(docs.sparkSession)
     items = benchmark.filter("text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, math.ceil(total / block_bytes))
@@ -216,7 +217,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO, b
         shared = context.broadcast(build(sorted((r.item_id, r.text) for r in rows if r.item_id is not None), ratio))
 
         columns.append(F.pandas_udf(_searcher(shared), MATCHES)("text"))
-    return docs.withColumn("contamination", columns[0] if blocks == 1 else F.concat(*columns))
+    return docs.withColumn(into, columns[0] if blocks == 1 else F.concat(*columns))
 
 
 def op4_decontaminate(spark, sf_dir: str) -> DataFrame:

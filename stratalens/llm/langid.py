@@ -17,13 +17,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table
+from stratalens.llm.storage import bounded_batches, table
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 HASH_BITS = 16
 LEXICON = 4000
 #: Bound of the training sample: whole documents are taken, in hash order, until a language has so many words.
-TRAIN_WORDS = 60_000
+TRAIN_WORDS = 40_000
 SEQUENCE, BATCH, STEPS, RATE, DECAY = 48, 192, 70, 0.15, 1e-4
 #: Chance that a training sequence goes on to another language after a segment of 3 to 24 words.
 SWITCH = 0.35
@@ -162,8 +162,10 @@ def train(texts: list[str], langs: list[str], seed: int = 11) -> dict:
     # Features of all words as one list: (word, feature).
     owner = np.searchsorted(words.start, np.arange(words.raw.size), "right") - 1
     spots = np.flatnonzero(words.letter)
-    pairs = [(owner[spots], ids[spots]) for ids in words.position_features()] + [(np.arange(words.start.size), ids) for ids in words.word_features(lexicon)]
+    pairs = [(owner[spots].astype(np.int32), ids[spots].astype(np.int32)) for ids in words.position_features()]
+    pairs += [(np.arange(words.start.size, dtype=np.int32), ids.astype(np.int32)) for ids in words.word_features(lexicon)]
     who, what = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+    del pairs, owner, spots
     order = np.argsort(who, kind="stable")
     who, what = who[order], what[order]
     head = np.searchsorted(who, np.arange(words.start.size + 1))
@@ -262,6 +264,7 @@ def language_id(docs: DataFrame, model: dict) -> DataFrame:
     Null texts and texts without letters are `und` with score 0; so is everything when no language was learned. Repeated
     rows are labelled one by one; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed tables: a few MB for a handful of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,8 +279,9 @@ def language_id(docs: DataFrame, model: dict) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 
 
-def with_language(docs: DataFrame, model: dict) -> DataFrame:
-    """`docs` (text, any others) with a struct column `language` of lang_pred and score, as language_id gives them."""
+def with_language(docs: DataFrame, model: dict, into: str = "language") -> DataFrame:
+    """`docs` (text, any others) with a struct column `into` of lang_pred and score, as language_id gives them."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: pd.Series) -> pd.DataFrame:
@@ -289,7 +293,7 @@ def with_language(docs: DataFrame, model: dict) -> DataFrame:
         return pd.DataFrame({"lang_pred": langs, "score": np.concatenate(scores) if scores else np.zeros(0)})
 
     run.__annotations__ = {"texts": pd.Series, "return": pd.DataFrame}
-    return docs.withColumn("language", F.pandas_udf(run, "lang_pred string, score double")("text"))
+    return docs.withColumn(into, F.pandas_udf(run, "lang_pred string, score double")("text"))
 
 
 def held_out(modulus: int, remainder: int):

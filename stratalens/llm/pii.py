@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table
+from stratalens.llm.storage import bounded_batches, table
 from stratalens.llm.textbytes import slices
 
 #: Kinds in their order, and their patterns.
@@ -260,6 +260,7 @@ def personal_data(docs: DataFrame, model: dict) -> DataFrame:
     Null and empty texts have no spans; repeated rows are treated one by one; other columns are ignored. Offsets are code
     points. A text is read as a whole; time and memory are linear in it.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 2^BITS x kinds weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table
+from stratalens.llm.storage import bounded_batches, table
 from stratalens.llm.textbytes import slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -77,6 +77,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Null and empty texts have none; repeated rows are counted one by one; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(load(vocabulary))  # a vocabulary: tens of thousands of pieces
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.langid import held_out
-from stratalens.llm.storage import table
+from stratalens.llm.storage import bounded_batches, table
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 #: Bound of the training sample, in hash order of doc_id.
@@ -207,6 +207,7 @@ def toxicity(docs: DataFrame, model: dict, predicted_at: float = PREDICTED_AT) -
     Null and empty texts get the classifier's score for no evidence; repeated rows are scored one by one; without labels of
     both classes every score is that of no evidence; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # FEATURES weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
