@@ -23,17 +23,17 @@ LEAST_SHARE = 0.5
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a language (null, empty, no letters) and texts of which no language has half."""
-    found = with_language(docs, fit(training_rows(docs)))
-    kept = found.filter((F.col("language.lang_pred") != "und") & (F.col("language.score") >= LEAST_SHARE))
+    found = with_language(docs, fit(training_rows(docs)), "__language")
+    kept = found.filter((F.col("__language.lang_pred") != "und") & (F.col("__language.score") >= LEAST_SHARE))
     return kept.select(*docs.columns)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Deletes later copies of repeated line runs; a document of which no word is left goes. n_chars follows the text."""
-    found = dedup_lines(docs)
-    gone = (F.col("line_dedup.n_removed") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    found = dedup_lines(docs, into="__lines")
+    gone = (F.col("__lines.n_removed") > 0) & ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     length = F.length("text").cast("long")
-    return found.filter(~gone).select(*[F.when(F.col("line_dedup.n_removed") > 0, length).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
+    return found.filter(~gone).select(*[F.when(F.col("__lines.n_removed") > 0, length).otherwise(F.col(c)).alias(c) if c == "n_chars" else c for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, up to a tenth of it in edits, go."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).filter(F.size("contamination") == 0).select(*docs.columns)
+    return contamination(docs, table(spark, sf_dir, "benchmark"), into="__items").filter(F.size("__items") == 0).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

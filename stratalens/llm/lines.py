@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table, written
+from stratalens.llm.storage import bounded_batches, collect_garbage, discard, table, written
 from stratalens.llm.textbytes import Spans, slices, text_bytes, word_spans
 
 MIN_WORDS = 50
@@ -103,28 +103,31 @@ def _cut(text: pd.Series, ranges: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["text", "n_lines", "n_removed", "n_runs"])
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "line_dedup") -> DataFrame:
     """`docs` (doc_id, text, any others) with the later copies of repeated line runs taken out of `text`, and a struct column
-    `line_dedup` of n_lines, n_removed (lines with words) and n_runs.
+    `into` of n_lines, n_removed (lines with words) and n_runs.
 
     Order is that of doc_id (null last), then a hash of the text, then lines; rows equal in id and text count as one document.
     Null and empty texts, and lines without words, stay as they are.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     base = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("__tie", F.hash("text"))
     lines = written(base.select(*_AT, "text").mapInArrow(_lines, "__doc long, __tie int, seq int, id long, words int"), "lines")
     shared = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
     repeated = written(lines.join(shared, "id").select(*_AT, "seq", "id", "words").distinct(), "repeated")
+    discard(lines)
     runs = repeated.groupBy(*_AT).agg(F.collect_list(F.struct("seq", "words")).alias("each")).mapInArrow(_runs(min_words), "__doc long, __tie int, seq int, size int")
     runs = written(runs.withColumn("level", F.floor(F.log2(F.col("size").cast("double")) + 1e-9).cast("int")), "runs")
     levels = runs.agg(F.max("level")).first()[0]
     names = repeated.select(*_AT, "seq", F.col("id").alias("name"))
-    removed = []
+    removed, used = [], [repeated, runs]
     for level in range((-1 if levels is None else levels) + 1):
         half = 1 << level
         last = names.select(*_AT, F.col("seq").alias("end"), F.col("name").alias("name_end"))
         named = runs.filter(F.col("level") == level).join(names, [*_AT, "seq"]).withColumn("end", F.col("seq") + F.col("size") - half).join(last, [*_AT, "end"])
         named = written(named.select(*_AT, "seq", "size", "name", "name_end"), "named")
+        used.append(named)
         first = named.groupBy("size", "name", "name_end").agg(F.min(F.struct(*_AT, "seq")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         removed.append(named.join(first, ["size", "name", "name_end"]).filter(F.struct(*_AT, "seq") > F.col("first")).select(*_AT, "seq", "size"))
         if level < levels:
@@ -133,17 +136,20 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             twice = pairs.groupBy("name", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "next")
             ranked = written(twice.repartitionByRange("name", "next").sortWithinPartitions("name", "next").withColumn("rank", F.monotonically_increasing_id()), "ranks")
             names = written(pairs.join(ranked, ["name", "next"]).select(*_AT, "seq", F.col("rank").alias("name")), "names")
+            discard(pairs, ranked)
+            used.append(names)
     if not removed:
-        return base.withColumn("line_dedup", F.struct(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))).drop(*_AT)
+        return base.withColumn(into, F.struct(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))).drop(*_AT)
     every = removed[0]
     for more in removed[1:]:
         every = every.union(more)
     ranges = written(every.groupBy(*_AT).agg(F.collect_list(F.struct("seq", "size")).alias("__ranges")), "line-ranges")
-    spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
+    discard(*used)
+    collect_garbage(spark)
     cut = F.pandas_udf(_cut, "text string, n_lines long, n_removed long, n_runs long")
     # By merging at every size: ranges are small next to texts only on small tables.
     found = base.join(ranges.hint("merge"), _AT, "left").withColumn("__cut", cut(F.col("text"), F.col("__ranges")))
-    return found.withColumn("text", F.col("__cut.text")).withColumn("line_dedup", F.struct("__cut.n_lines", "__cut.n_removed", "__cut.n_runs")).select(*docs.columns, "line_dedup")
+    return found.withColumn("text", F.col("__cut.text")).withColumn(into, F.struct("__cut.n_lines", "__cut.n_removed", "__cut.n_runs")).select(*docs.columns, into)
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

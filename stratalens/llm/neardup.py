@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
-from stratalens.llm.storage import table, written
+from stratalens.llm.storage import bounded_batches, collect_garbage, derived, discard, table, written
 from stratalens.llm.textbytes import Spans, lower_ascii, mix64, slices, text_bytes, word_spans
 
 BANDS, ROWS = 64, 8
@@ -140,7 +140,7 @@ def _mixed(nodes: DataFrame, found: DataFrame | None, low: int, high: int) -> Da
     rank = F.struct("weight", -F.col("component"), -F.col("doc_id"))
     tops = members.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.max(rank).alias("r")).filter("a != b")
     top = F.struct((-F.col("r.col2")).alias("component"), (-F.col("r.col3")).alias("doc_id")).alias("top")
-    return members.join(tops.select("band", top), "band").select("band", "doc_id", "component", "top")
+    return derived(members.join(tops.select("band", top), "band").select("band", "doc_id", "component", "top"), placed)
 
 
 def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: int) -> DataFrame:
@@ -158,6 +158,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     have empty sets and are linked with nothing; rows without an id have no component and are kept; rows with the same id
     are one node. Other columns are ignored.
     """
+    spark = docs.sparkSession
+    bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     made = written(docs.mapInArrow(_sketches(width), "doc_id long, n_shingles long, sig_a long, sig_b long, bands array<long>, odd array<long>"), "sketches")
     sets = made.filter("sig_a is not null and doc_id is not null")
@@ -167,31 +169,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     shared = nodes.select("doc_id", F.explode("bands").alias("band")).groupBy("band").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a != b")
     # Only documents that share a band with another are read again.
     wanted = written(nodes.select("doc_id", F.explode("bands").alias("band")).join(shared, "band", "left_semi").select("doc_id").distinct(), "wanted")
-    nodes = written(nodes.join(wanted, "doc_id", "left_semi"), "nodes")
+    every_node, nodes = nodes, written(nodes.join(wanted, "doc_id", "left_semi"), "nodes")
     texts = written(docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    discard(every_node, wanted)
     sketches = nodes.select("doc_id", "odd", "n_shingles")
     links, found = None, None
-    for low, high, every in STAR_ROUNDS:
-        band = _mixed(nodes, found, low, high)
-        stars = band.filter(F.col("component") != F.col("top.component")).select(F.col("doc_id").alias("u"), F.col("top.doc_id").alias("v")).distinct()
-        stars = _estimated(stars, sketches, threshold)
-        pairs = stars.select("u", "v") if every else stars.groupBy("u").agg(F.max_by("v", F.struct("e", -F.col("v"))).alias("v"))
-        new = confirmed(pairs, texts, width, threshold)
-        links = new if links is None else written(links.union(new), "links")
+
+    def linked(pairs: DataFrame) -> None:
+        """Confirm pairs, and take the components anew."""
+        nonlocal links, found
+        new, old, before = confirmed(pairs, texts, width, threshold), links, found
+        links = new if old is None else written(old.union(new), "links")
         found = components(links)
+        discard(old, new if old is not None else None, before)
+
+    for low, high, every in STAR_ROUNDS:
+        members = _mixed(nodes, found, low, high)
+        pairs = members.filter(F.col("component") != F.col("top.component")).select(F.col("doc_id").alias("u"), F.col("top.doc_id").alias("v")).distinct()
+        stars = _estimated(pairs, sketches, threshold)
+        linked(stars.select("u", "v") if every else stars.groupBy("u").agg(F.max_by("v", F.struct("e", -F.col("v"))).alias("v")))
+        discard(members, stars)
+        collect_garbage(spark)
     # What is left: bands that still hold several components; members of different ones are compared by sketch. A pair is
     # looked at in the first band that it shares.
-    left = _mixed(nodes, found, 0, BANDS).select("band", "doc_id", "component").join(nodes, "doc_id")
+    members = _mixed(nodes, found, 0, BANDS)
+    left = members.select("band", "doc_id", "component").join(nodes, "doc_id")
     left = written(left.withColumn("at", F.array_position("bands", F.col("band"))), "left")
     a, b = left.alias("a"), left.alias("b")
     on = (F.col("a.band") == F.col("b.band")) & (F.col("a.component") > F.col("b.component")) & _size_fits(F.col("a.n_shingles"), F.col("b.n_shingles"), threshold)
     on = on & (estimate("a.odd", "b.odd") >= LEAST_ESTIMATE) & (F.expr("array_position(zip_with(a.bands, b.bands, (x, y) -> x = y), true)") == F.col("a.at"))
     cross = written(a.join(b, on).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")), "cross")
-    found = components(links.union(confirmed(cross, texts, width, threshold))).withColumnRenamed("node", "doc_id_n")
-    by_class = classes.join(found, classes.node == found.doc_id_n, "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
+    linked(cross)
+    discard(members, left, cross)
+    collect_garbage(spark)
+    component = found.withColumnRenamed("node", "doc_id_n")
+    by_class = classes.join(component, classes.node == component.doc_id_n, "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
     rows = made.select("doc_id", "n_shingles", "sig_a", "sig_b").join(by_class, ["sig_a", "sig_b"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = written(rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
+    discard(made, nodes, texts, links, found)
+    collect_garbage(spark)
+    return out
 
 
 def op7_near_dedup(spark, sf_dir: str) -> DataFrame:

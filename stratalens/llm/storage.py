@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,12 +27,39 @@ def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
 def written(df: DataFrame, tag: str, partitions: int | None = None) -> DataFrame:
     """Write `df` as Parquet into the shared folder and read it back: lost executors then cost no recomputation.
 
-    The files belong to the session's checkpoint folder and live as long as it does.
+    The files belong to the session's checkpoint folder; `discard` deletes those that nothing needs any more.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     (df.coalesce(partitions) if partitions else df).write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return _at(spark.read.schema(df.schema).parquet(path), path)
+
+
+def _at(df: DataFrame, path: str | None) -> DataFrame:
+    df.written_at = path
+    return df
+
+
+def derived(df: DataFrame, source: DataFrame) -> DataFrame:
+    """`df`, which stands on the written table `source` alone: discarding it discards that table."""
+    return _at(df, getattr(source, "written_at", None))
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete written tables that nothing reads any more: what came from them is written itself."""
+    for df in tables:
+        if path := getattr(df, "written_at", None):
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            df.written_at = None
+
+
+def collect_garbage(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps: once more after its listeners have let go of them."""
+    for pause in (0.2, 0.0):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

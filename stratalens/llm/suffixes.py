@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import bounded_batches, table, written
+from stratalens.llm.storage import bounded_batches, collect_garbage, discard, table, written
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 LENGTH = 100
@@ -71,7 +71,7 @@ CONTEXTS = "mini long, doc long, tie int, start long, size long, key long, conte
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text with repeated minimizers: its contexts; a later one that equals an earlier of the same text comes
-    without bytes and key: it is a repeat already."""
+    without key: it is a repeat already."""
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             out: list[list] = [[] for _ in range(7)]
@@ -105,7 +105,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[2] += [part.column("tie")[i].as_py()] * starts.size
                 out[3] += starts.tolist()
                 out[4] += (ends - starts).tolist()
-                out[5] += [k if f else None for k, f in zip(keys.view(np.int64).tolist(), first, strict=True)]
+                names = keys.view(np.int64).tolist()
+                out[5] += [k if f else None for k, f in zip(names, first, strict=True)]
                 out[6] += [blob[s:e] if f else None for s, e, f in zip(starts, ends, first, strict=True)]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["mini", "doc", "tie", "start", "size", "key", "context"])
@@ -293,11 +294,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc"), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
 
-def _collect_garbage(spark) -> None:
-    """Lets Spark delete the shuffle files of finished steps."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """For each row of `docs` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans ([start, end) removed).
 
@@ -308,23 +304,30 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc"), F.hash("text").alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
+    doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("doc")
+    # A hash of the text tells rows with one id apart; where ids are unique, as they should be, it would only weigh on shuffles.
+    repeated = not docs.select(doc).groupBy("doc").count().filter("count > 1").isEmpty()
+    base = docs.select(doc, (F.hash("text") if repeated else F.lit(0)).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     minis = base.mapInArrow(_minimizers, "mini long, doc long, tie int, place long")
     twice = minis.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mini"))).filter("n > 1")
     places = written(twice.groupBy("doc", "tie").agg(F.collect_set("place").alias("places")), "places")
-    _collect_garbage(spark)
+    collect_garbage(spark)
     contexts = written(base.join(places.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(_contexts, CONTEXTS), "contexts")
-    _collect_garbage(spark)
+    discard(places)
+    collect_garbage(spark)
     place = F.struct("doc", "tie", "start")
-    keyed = contexts.filter("key is not null").withColumn("key2", F.xxhash64("context"))
-    first = keyed.groupBy("key", "key2", "mini").agg(F.min(place).alias("p"), F.first("context").alias("context"))
-    first = written(first.select("key", "key2", "mini", "p.doc", "p.tie", "p.start", "context"), "first")
+    # A context is named by its own hash and that of its minimizer.
+    keyed = contexts.filter("key is not null")
+    first = keyed.groupBy("key", "mini").agg(F.min(place).alias("p"), F.first("context").alias("context"))
+    first = written(first.select("key", "mini", "p.doc", "p.tie", "p.start", "context"), "first")
+    collect_garbage(spark)
     sorted_ = first.repartition("mini").sortWithinPartitions("mini").select("mini", "doc", "tie", "start", "context").mapInArrow(_sort_contexts, "doc long, tie int, low long, high long")
     ends = [F.col("start").alias("low"), (F.col("start") + F.col("size")).alias("high")]
-    later = keyed.drop("context").join(first.select("key", "key2", "mini", F.col("doc").alias("d"), F.col("tie").alias("t"), F.col("start").alias("s")), ["key", "key2", "mini"]).filter("not (doc = d and tie = t and start = s)").select("doc", "tie", *ends)
+    later = keyed.drop("context").join(first.select("key", "mini", F.col("doc").alias("d"), F.col("tie").alias("t"), F.col("start").alias("s")), ["key", "mini"]).filter("not (doc = d and tie = t and start = s)").select("doc", "tie", *ends)
     within = contexts.filter("key is null").select("doc", "tie", *ends)
     ranges = written(sorted_.union(later).union(within).groupBy("doc", "tie").agg(F.collect_set(F.struct("low", "high")).alias("ranges")), "ranges")
-    _collect_garbage(spark)
+    discard(contexts, first)
+    collect_garbage(spark)
     found = base.join(ranges.hint("merge"), ["doc", "tie"], "left").select("doc", "text", "ranges").mapInArrow(_remove, REMOVED)
     return found.select(F.when(F.col("doc") != _NULL_ID, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 

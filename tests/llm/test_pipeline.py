@@ -40,6 +40,7 @@ def test_run(spark, sf):
 
 def test_odd_tables_go_through(spark, sf):
     docs = spark.createDataFrame([(1, None, None, None, None, "x"), (None, "the and that this with for", "en", None, 3, "x"), (2, "the and that this with from was", "en", "a", 3, "x"), (2, "the and that this with from was", "en", "a", 3, "x")], "doc_id long, text string, lang string, source string, n_chars long, component_id string")
+    docs = docs.withColumns({c: docs.component_id for c in ("language", "line_dedup", "contamination", "kept", "seq", "doc", "stays", "band", "node")})
     for rows in (docs, docs.limit(0)):
         now = rows
         for _, stage in P.STAGES[:-1]:
