@@ -29,6 +29,8 @@ GRAM = 32
 REACH = LENGTH - GRAM + 1
 #: Bytes of contexts that a task sorts at once (a minimizer's contexts are never parted).
 SORT_BYTES = 1 << 20
+#: Contexts that a task remembers to have sent.
+SENT = 1_000_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -71,7 +73,8 @@ CONTEXTS = "mini long, doc long, tie int, start long, size long, key long, conte
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text with repeated minimizers: its contexts; a later one that equals an earlier of the same text comes
-    without key: it is a repeat already."""
+    without key: it is a repeat already. A task sends the bytes of equal contexts once (or anew when it has seen very many)."""
+    sent: set[int] = set()
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             out: list[list] = [[] for _ in range(7)]
@@ -107,7 +110,10 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 out[4] += (ends - starts).tolist()
                 names = keys.view(np.int64).tolist()
                 out[5] += [k if f else None for k, f in zip(names, first, strict=True)]
-                out[6] += [blob[s:e] if f else None for s, e, f in zip(starts, ends, first, strict=True)]
+                out[6] += [blob[s:e] if f and k not in sent else None for s, e, f, k in zip(starts, ends, first, names, strict=True)]
+                sent.update(names)
+                if len(sent) > SENT:
+                    sent = set()
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["mini", "doc", "tie", "start", "size", "key", "context"])
 
@@ -318,7 +324,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     place = F.struct("doc", "tie", "start")
     # A context is named by its own hash and that of its minimizer.
     keyed = contexts.filter("key is not null")
-    first = keyed.groupBy("key", "mini").agg(F.min(place).alias("p"), F.first("context").alias("context"))
+    first = keyed.groupBy("key", "mini").agg(F.min(place).alias("p"), F.first("context", ignorenulls=True).alias("context"))
     first = written(first.select("key", "mini", "p.doc", "p.tie", "p.start", "context"), "first")
     collect_garbage(spark)
     sorted_ = first.repartition("mini").sortWithinPartitions("mini").select("mini", "doc", "tie", "start", "context").mapInArrow(_sort_contexts, "doc long, tie int, low long, high long")
