@@ -26,10 +26,11 @@ from stratalens.llm.storage import bounded_batches, collect_garbage, derived, di
 from stratalens.llm.textbytes import Spans, lower_ascii, mix64, slices, text_bytes, word_spans
 
 BANDS, ROWS = 64, 8
-HASHES = BANDS * ROWS
-SKETCH_BITS = 1024
-#: Of similarity: 0.8 must hold exactly; estimates (standard deviation below 0.02) under LEAST_ESTIMATE don't belong to such pairs.
-THRESHOLD, LEAST_ESTIMATE = 80, 0.72
+#: Samples: the bands take the first, odd sketches all.
+HASHES = 1024
+SKETCH_BITS = 4096
+#: Of similarity: 0.8 must hold exactly; estimates (standard deviation 0.0125) under LEAST_ESTIMATE don't belong to such pairs.
+THRESHOLD, LEAST_ESTIMATE = 80, 0.75
 #: Star rounds: bands from, to, and whether every member is confirmed or the best estimate of each node.
 STAR_ROUNDS = ((0, 4, False), (4, 16, False), (0, BANDS, True))
 _rng = np.random.default_rng(77)
@@ -67,10 +68,10 @@ def sketch(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and odd sketch (as 64-bit words) of a set of shingle hashes."""
     low = np.full(HASHES, 0xFFFFFFFF, np.uint32)
     short = (hashes >> np.uint64(32)).astype(np.uint32)
-    for part in range(0, short.size, 512):
-        np.minimum(low, ((short[None, part : part + 512] ^ _XOR[:, None]) * _MULTIPLY[:, None]).min(axis=1), out=low)
+    for part in range(0, short.size, 256):
+        np.minimum(low, ((short[None, part : part + 256] ^ _XOR[:, None]) * _MULTIPLY[:, None]).min(axis=1), out=low)
     samples = mix64(low.astype(np.uint64) | _SLOT)
-    bands = mix64((samples.reshape(BANDS, ROWS) * _TERMS[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
+    bands = mix64((samples[: BANDS * ROWS].reshape(BANDS, ROWS) * _TERMS[:ROWS]).sum(1) + np.arange(BANDS, dtype=np.uint64))
     bits = np.bincount((samples & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
     return bands.view(np.int64), np.packbits(bits.astype(np.uint8)).view(np.int64)
 
