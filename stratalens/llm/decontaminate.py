@@ -2,11 +2,13 @@
 
 An item is found where a stretch of a text is within a tenth of the item's length in edits (UTF-8 bytes of normalised texts:
 lower case, letters and digits, one space between). Such a stretch holds one of d + 1 pieces of the item unchanged, where d is
-the number of edits allowed; so only item-sized windows that a piece anchors are looked at. Windows and items are embedded by
-CGK random walks (the walk copies the symbol under its head at each step and moves on by a random bit of step and symbol), which
-turns edit distance into Hamming distance; windows that agree with the item on all sampled symbols of any of the bit-sampling
-tables, over several walks, and whose estimated Hamming distance is well below chance, are verified by exact edit distance (Myers'
-bit vectors).
+the number of edits allowed; so only item-sized windows that a piece anchors are looked at. Pieces are joined two by two up to
+the whole item: of a stretch with at most d edits, some intact piece has a neighbourhood of 2, 4, 8, ... pieces around it with at
+most 1, 3, 7, ... edits, at every size. Anchors without such neighbourhoods are dropped, which loses nothing at any length. Windows
+and items are embedded by CGK random walks (the walk copies the symbol under its head at each step and moves on by a random bit of
+step and symbol), which turns edit distance into Hamming distance; windows that agree with the item on all sampled symbols of any
+of the bit-sampling tables, over several walks, and whose estimated Hamming distance is well below chance, skip the larger
+neighbourhoods. What is left is verified by exact edit distance (Myers' bit vectors).
 """
 
 from __future__ import annotations
@@ -24,10 +26,12 @@ from stratalens.llm.storage import bounded_batches, table
 from stratalens.llm.textbytes import slices, text_bytes
 
 RATIO = 0.1
-#: Walks, tables of each, and symbols sampled by a table: recall 0.95 and more at the largest distance allowed (see tests).
+#: Walks, tables of each, and symbols sampled by a table. They decide which windows are verified at once, not which are dropped.
 WALKS, TABLES, SYMBOLS = 4, 48, 4
-#: Windows that collide in a table are verified if this share of all sampled symbols agrees (about 0.16 do by chance).
+#: Windows that collide in a table are verified at once if this share of all sampled symbols agrees (about 0.16 do by chance).
 AGREEMENT = 0.24
+#: Neighbourhoods of up to 2^BANDED pieces are compared for all anchors side by side, larger ones one by one.
+BANDED = 2
 #: Items of a block are sent to all executors; larger benchmarks are taken in several blocks.
 BLOCK_BYTES = 8 << 20
 _PAD = 0
@@ -83,9 +87,9 @@ def build(items: list[tuple[int, str | None]], ratio: float = RATIO) -> dict:
         d = max(0, min(int(ratio * len(b)), len(b) // 8 - 1))
         for j in range(d + 1):
             low, high = j * len(b) // (d + 1), (j + 1) * len(b) // (d + 1)
-            pieces.append((int.from_bytes(b[low : low + 8], "little"), int.from_bytes(b[high - 8 : high], "little"), low, high - low, len(kept)))
+            pieces.append((int.from_bytes(b[low : low + 8], "little"), int.from_bytes(b[high - 8 : high], "little"), low, high - low, len(kept), j))
         kept.append((item_id, b, d))
-    pieces = np.array(sorted(pieces), dtype=[("head", np.uint64), ("tail", np.uint64), ("low", np.int64), ("size", np.int64), ("item", np.int64)]) if pieces else np.zeros(0, [("head", np.uint64), ("tail", np.uint64), ("low", np.int64), ("size", np.int64), ("item", np.int64)])
+    pieces = np.array(sorted(pieces), dtype=[("head", np.uint64), ("tail", np.uint64), ("low", np.int64), ("size", np.int64), ("item", np.int64), ("part", np.int64)]) if pieces else np.zeros(0, [("head", np.uint64), ("tail", np.uint64), ("low", np.int64), ("size", np.int64), ("item", np.int64), ("part", np.int64)])
     seen = np.zeros(1 << _BITS, bool)
     seen[(pieces["head"] * _MULTIPLY) >> np.uint64(64 - _BITS)] = True
     sizes = np.array([len(b) for _, b, _ in kept], np.int64)
@@ -93,6 +97,8 @@ def build(items: list[tuple[int, str | None]], ratio: float = RATIO) -> dict:
     width = 3 * int(sizes.max()) if sizes.size else 0
     joined = np.frombuffer(b"".join(b.ljust(width, bytes([_PAD])) for _, b, _ in kept), np.uint8)
     index = {"items": kept, "pieces": pieces, "seen": seen, "sizes": sizes, "classes": classes, "walks": []}
+    index["parts"] = np.array([d + 1 for _, _, d in kept], np.int64)
+    index["flat"], index["begin"] = np.frombuffer(b"".join(b for _, b, _ in kept), np.uint8), np.cumsum(sizes) - sizes
     longest = int(classes.max()) if sizes.size else 0
     for _ in range(WALKS):
         moves = _rng_for(len(index["walks"])).integers(0, 2, (2 * max(longest, 1), 256)).astype(np.uint8)
@@ -135,6 +141,33 @@ def _embed(padded: np.ndarray, low: np.ndarray, classes: np.ndarray, walk: dict)
     return out.reshape(low.size, TABLES, SYMBOLS)
 
 
+def _node(index: dict, item, part, level: int):
+    """Bounds in the item, and edits allowed, of the neighbourhood of 2^level pieces that holds a piece."""
+    parts, size = index["parts"][item], index["sizes"][item]
+    first = (part >> level) << level
+    last = np.minimum(first + (1 << level), parts)
+    return first * size // parts, last * size // parts, last - first - 1
+
+
+def _banded(raw: np.ndarray, at: np.ndarray, index: dict, row: np.ndarray, item: np.ndarray, low: np.ndarray, part: np.ndarray, level: int) -> np.ndarray:
+    """Which anchors have a neighbourhood of 2^level pieces within its edits. An alignment through the anchor with e edits
+    keeps to the e diagonals on both sides, so a band of the edit table is enough."""
+    start, end, allowed = _node(index, item, part, level)
+    band = (1 << level) - 1
+    place = (low + start)[:, None] + np.arange(-band, band + 1)
+    left, right, pattern = at[row][:, None], at[row + 1][:, None], index["begin"][item] + start
+    cost = np.zeros(place.shape, np.int16)
+    for i in range(int((end - start).max())):
+        inside = (place + i >= left) & (place + i < right)
+        symbol = np.where(inside, raw[np.clip(place + i, 0, raw.size - 1)], _PAD)
+        now = cost + (symbol != index["flat"][np.minimum(pattern + i, index["flat"].size - 1)][:, None])
+        now[:, :-1] = np.minimum(now[:, :-1], cost[:, 1:] + 1)
+        for k in range(1, now.shape[1]):
+            now[:, k] = np.minimum(now[:, k], now[:, k - 1] + 1)
+        cost = np.where((i < end - start)[:, None], now, cost)
+    return cost.min(1) <= allowed
+
+
 def find(column: pa.Array, index: dict) -> list[list[tuple[int, int, int]]]:
     """For each text the items in it: (item_id, least edits, edits allowed)."""
     raw, at = normalise(column)
@@ -155,31 +188,46 @@ def find(column: pa.Array, index: dict) -> list[list[tuple[int, int, int]]]:
     good = (tail + 8 <= at[row + 1])
     good[good] = grams[tail[good]] == pieces["tail"][which[good]]
     spot, which, row = spot[good], which[good], row[good]
-    item, low = pieces["item"][which], spot - pieces["low"][which]
-    windows = np.unique(np.stack([row, item, low]), axis=1)
-    row, item, low = windows
+    item, part, low = pieces["item"][which], pieces["part"][which], spot - pieces["low"][which]
+    for level in range(1, BANDED + 1):
+        near = [_banded(raw, at, index, row[k : k + 65536], item[k : k + 65536], low[k : k + 65536], part[k : k + 65536], level) for k in range(0, row.size, 65536)]
+        near = np.concatenate(near) if near else np.zeros(0, bool)
+        row, item, part, low = row[near], item[near], part[near], low[near]
     if not row.size:
         return [[] for _ in range(n)]
+    windows, anchored = np.unique(np.stack([row, item, low]), axis=1, return_inverse=True)
     padded = np.concatenate([raw, np.zeros(2 * int(index["classes"].max()) + 2, np.uint8)])
-    inside = np.maximum(low, at[row])  # windows keep to their rows
-    collided, agree = np.zeros(row.size, bool), np.zeros(row.size)
+    inside = np.maximum(windows[2], at[windows[0]])  # windows keep to their rows
+    collided, agree = np.zeros(inside.size, bool), np.zeros(inside.size)
     for walk in index["walks"]:
-        equal = _embed(padded, inside, index["classes"][item], walk) == walk["symbols"][item]
+        equal = _embed(padded, inside, index["classes"][windows[1]], walk) == walk["symbols"][windows[1]]
         collided |= equal.all(2).any(1)
         agree += equal.mean((1, 2)) / WALKS
-    passed = collided & (agree >= AGREEMENT)
-    last_key, covered = None, -1
-    for k in np.flatnonzero(passed):
-        r, i = int(row[k]), int(item[k])
-        item_id, pattern, most = index["items"][i]
-        if (r, i) != last_key:
-            last_key, covered = (r, i), -1
-        if int(low[k]) <= covered:
-            continue
-        # One verification answers for all windows that start within the next `most` bytes.
-        start, end = max(int(at[r]), int(low[k]) - most), min(int(at[r + 1]), int(low[k]) + len(pattern) + 3 * most + 8)
-        found = edit_distance_within(pattern, raw[start:end].tobytes(), most)
-        covered = int(low[k]) + most
+    passed = (collided & (agree >= AGREEMENT))[anchored.ravel()]
+    known: dict[tuple[int, ...], int | None] = {}
+
+    def least(r: int, i: int, start: int, end: int, allowed: int, place: int) -> int | None:
+        """Least edits of a part of an item where it starts about `place`; one look answers for `allowed` + 1 places."""
+        first = place // (allowed + 1) * (allowed + 1)
+        key = (r, i, start, end, first)
+        if key not in known:
+            text = raw[max(int(at[r]), first - allowed) : max(0, min(int(at[r + 1]), first + 2 * allowed + end - start))]
+            known[key] = edit_distance_within(index["items"][i][1][start:end], text.tobytes(), allowed)
+        return known[key]
+
+    # Windows of a row and item that lie together share the looks; those that collided come first.
+    for k in np.lexsort((low, ~passed, item, row)):
+        r, i, p, at_low = int(row[k]), int(item[k]), int(part[k]), int(low[k])
+        pattern, most = index["items"][i][1:]
+        if not passed[k] and (r, i, 0, len(pattern), at_low // (most + 1) * (most + 1)) not in known:
+            level, good = BANDED + 1, True
+            while good and 1 << level <= most:
+                start, end, allowed = map(int, _node(index, i, p, level))
+                good = least(r, i, start, end, allowed, at_low + start) is not None
+                level += 1
+            if not good:
+                continue
+        found = least(r, i, 0, len(pattern), most, at_low)
         if found is not None and found <= out[r].get(i, most):
             out[r][i] = found
     return [sorted((index["items"][i][0], e, index["items"][i][2]) for i, e in o.items()) for o in out]

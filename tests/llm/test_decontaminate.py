@@ -66,6 +66,27 @@ def test_recall_at_every_distance_and_no_false_match(spark, sf):
         assert total and hits >= (total if share == 0 else 0.9 * total)
 
 
+def test_long_items_at_the_largest_distance():
+    rng = np.random.default_rng(5)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(2, 10))) for _ in range(400)]
+    prose = lambda size: " ".join(words[k] for k in rng.integers(0, len(words), size // 4))[:size].strip()
+    for size in (1_000, 3_200, 6_400, 10_000):
+        items = [(i, prose(size)) for i in range(8)]
+        index = D.build(items)
+        allowed = {i: d for i, _, d in index["items"]}
+        docs = [prose(500) + " " + _edited(rng, text, allowed[i]) + " " + prose(500) for i, text in items]
+        found = D.find(pa.array(docs, pa.large_string()), index)
+        for (i, text), doc, row in zip(items, docs, found, strict=True):
+            plain = D.normalise(pa.array([doc], pa.large_string()))[0].tobytes()
+            least = D.edit_distance_within(D.normalise(pa.array([text]))[0].tobytes(), plain, allowed[i])
+            assert least is not None and row == [(i, least, allowed[i])], (size, i, least, row)
+
+
+def test_an_item_without_its_beginning_at_the_start_of_a_batch():
+    item = "a passage of some length whose first letters are missing from the copy in the document"
+    assert D.find(pa.array([item[4:]]), D.build([(1, item)])) == [[(1, 4, 8)]]
+
+
 def test_documents(spark, sf):
     got = {(r.doc_id, r.item_id): r.edits for r in D.op4_decontaminate(spark, sf).collect()}
     word = lambda t: " ".join(re.findall(r"[^\W_]+", (t or "").lower()))
