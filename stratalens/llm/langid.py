@@ -22,8 +22,9 @@ from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 HASH_BITS = 16
 LEXICON = 4000
-#: Bound of the training sample: whole documents are taken, in hash order, until a language has so many words.
+#: Bound of the training sample: documents are taken, in hash order, until a language has so many words.
 TRAIN_WORDS = 40_000
+WORD_CHARS = 12
 SEQUENCE, BATCH, STEPS, RATE, DECAY = 48, 192, 70, 0.15, 1e-4
 #: Chance that a training sequence goes on to another language after a segment of 3 to 24 words.
 SWITCH = 0.35
@@ -213,23 +214,29 @@ def _has_letter(text: str | None) -> bool:
 
 
 def fit(docs: DataFrame, words: int = TRAIN_WORDS) -> dict:
-    """Train on `docs` (doc_id, text, lang) with text and language: whole documents in hash order, about `words` words of
-    each language. Two scans: sizes of the languages, then the texts below each language's hash threshold."""
-    known = docs.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"))
-    sizes = known.groupBy("lang").agg(F.sum(F.length("text")).alias("chars")).collect()
-    if not sizes:
+    """Train on `docs` (doc_id, text, lang) with text and language: documents in hash order until a language has `words` words,
+    or all it has. Where words are long or there are no spaces, every WORD_CHARS characters count as a word, and a text gives no
+    more than its first words * WORD_CHARS characters, which fill the sample. Two scans: sums over ranges of the hash, each
+    2^(1/16) times the one before, so that the last one adds few rows; then the texts of the ranges that are needed."""
+    known = docs.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"))
+    known = known.withColumn("size", F.greatest(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1, F.ceil(F.length("text") / WORD_CHARS)))
+    known = known.withColumn("range", F.floor(F.log2(F.col("h").cast("double") + float(1 << 63) + 1) * 16))
+    last, total = {}, {}
+    for r in sorted(known.groupBy("lang", "range").agg(F.sum("size").alias("size")).collect()):
+        if total.get(r.lang, 0) < words:
+            last[r.lang], total[r.lang] = r.range, total.get(r.lang, 0) + r.size
+    if not last:
         return {"langs": []}
-    spark = docs.sparkSession
-    share = spark.createDataFrame([(r.lang, min(1.0, 12.0 * words / max(r.chars, 1))) for r in sizes], "lang string, share double")
-    picked = known.join(F.broadcast(share), "lang").filter(F.pmod("h", F.lit(1 << 20)) < F.ceil(F.col("share") * (1 << 20))).drop("share").collect()
+    ends = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last long")
+    picked = known.join(F.broadcast(ends), "lang").filter("range <= last").select("lang", "h", "size", F.substring("text", 1, words * WORD_CHARS).alias("text")).collect()
     picked.sort(key=lambda r: (r.lang, r.h, r.text))
     texts, langs, total = [], [], {}
     for r in picked:
-        if total.get(r.lang, 0) < words and _has_letter(r.text):
-            total[r.lang] = total.get(r.lang, 0) + r.text.count(" ") + 1
+        if total.get(r.lang, 0) < words:
+            total[r.lang] = total.get(r.lang, 0) + r.size
             texts.append(r.text)
             langs.append(r.lang)
-    return train(texts, langs) if texts else {"langs": []}
+    return train(texts, langs)
 
 
 def label(column: pa.Array, model: dict) -> dict[str, list | np.ndarray]:

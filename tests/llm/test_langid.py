@@ -54,3 +54,25 @@ def test_null_empty_and_letterless_texts(spark):
     assert [r.lang_pred for r in rows if r.doc_id == 5] == ["de", "de"] and [r.lang_pred for r in rows if r.doc_id is None] == ["en"]
     assert langid.language_id(docs.limit(0), model).count() == 0
     assert {r.lang_pred for r in langid.language_id(docs, langid.fit(docs.filter("lang_pred is null").withColumnRenamed("lang_pred", "lang"))).collect()} == {"und"}
+
+
+def test_languages_of_long_texts_and_beside_a_huge_text_are_learned(spark):
+    english, german = "the cat and the dog were in the house ", "der hund und die katze waren in dem haus "
+    long = [(i, english * 100, "en") for i in range(20)]
+    huge = [(100 + i, german, "de") for i in range(200)] + [(99, german * 20_000, "de")]
+    spaceless = [(400 + i, "这是一个很长的句子没有空格" * 50, "zh") for i in range(20)]
+    docs = spark.createDataFrame(long + huge + spaceless, "doc_id long, text string, lang string")
+    model = langid.fit(docs, words=50)
+    assert model["langs"] == ["de", "en", "zh"]
+    rows = langid.language_id(docs, model).collect()
+    truth = {i: lang for i, _, lang in long + huge + spaceless}
+    assert all(r.lang_pred == truth[r.doc_id] for r in rows)
+
+
+def test_training_sample_has_the_words_it_promises_and_no_more_than_a_text_beyond(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "train", lambda texts, langs: seen.update({lang: [t for t, x in zip(texts, langs, strict=True) if x == lang] for lang in langs}) or {"langs": sorted(seen)})
+    rows = [(i, "one two three four five " * (1 + i % 40), "a") for i in range(3_000)] + [(5_000 + i, "six seven", "b") for i in range(10)]
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=2_000)
+    sizes = [t.count(" ") + 1 for t in seen["a"]]
+    assert sum(sizes) >= 2_000 > sum(sizes[:-1]) and len(seen["b"]) == 10
