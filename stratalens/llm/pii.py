@@ -1,9 +1,10 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
 Patterns give the base spans. Candidate tokens (with a digit or @) of a document form a graph: neighbours are linked in a
-chain, and tokens with the same key (equal digits, or equal letters and digits), however far apart, are linked by skip edges,
-each to its next occurrence, so that edges grow with the tokens. Tokens in base spans are clamped to their kind; loopy belief
-propagation then carries labels to distant repeated or similar tokens. Unary weights, chain and skip potentials are trained
+chain, and tokens with the same key (equal digits, or equal letters and digits), however far apart, are linked by skip edges: to
+the nearest occurrence in a known span, or to the first one where none is known, so that edges grow with the tokens and distances
+don't grow with repeats. Tokens in base spans are clamped to their kind; loopy belief propagation, until messages settle, then
+carries labels to distant repeated or similar tokens. Unary weights, chain and skip potentials are trained
 piecewise on a bounded sample, labelled by the patterns. Tokens whose belief in a kind is high become further spans.
 """
 
@@ -38,7 +39,9 @@ MARK = re.compile(r"[0-9@]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bound of the training sample: documents with candidate tokens, in hash order.
 TRAIN_ROWS = 3_000
-BITS, STEPS, SWEEPS, BELIEF = 14, 200, 12, 0.8
+BITS, STEPS, BELIEF = 14, 200, 0.8
+#: Messages are settled when none changes by so much; loops whose messages keep turning are left after so many sweeps.
+SETTLED, SWEEPS = 1e-7, 10_000
 NEAR = 24  # chars between candidates that are still neighbours
 SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
 
@@ -116,17 +119,24 @@ def _key(token: str) -> str:
     return "d" + digits if len(digits) >= 7 and len(digits) * 2 > len(letters) else "w" + letters
 
 
-def _edges(text: str, spans: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain and skip edges between the candidates of one text."""
+def _edges(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Chain and skip edges between the candidates of one text, which are known by a label above 0. Skip edges link the known
+    occurrences of a key in their order, and each other one to the nearest known, or to the first where none is known."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] <= NEAR]
-    last: dict[str, int] = {}
-    skip = []
+    places: dict[str, list[int]] = {}
     for i, (start, end) in enumerate(spans):
         key = _key(text[start:end])
         if len(key) > 4:
-            if key in last:
-                skip.append((last[key], i))
-            last[key] = i
+            places.setdefault(key, []).append(i)
+    skip = []
+    for same in places.values():
+        known = [i for i in same if labels[i] > 0]
+        skip += zip(known, known[1:], strict=False)
+        for i in same:
+            if labels[i] == 0 and (known or i != same[0]):
+                k = bisect_right(known, i)
+                j = min(known[max(k - 1, 0) : k + 1], key=lambda j: abs(i - j)) if known else same[0]
+                skip.append((min(i, j), max(i, j)))
     return chain, skip
 
 
@@ -153,7 +163,7 @@ def train(texts: list[str]) -> dict:
         spans = candidates(text)
         if spans:
             y = _clamped(spans, base_spans(text) + _secrets(text))
-            edges = _edges(text, spans)
+            edges = _edges(text, spans, y)
             # A token that no pattern knows, with a twin that one knows, has no label: patterns are silent, not negative.
             unknown = {i for a, b in edges[1] for i, j in ((a, b), (b, a)) if y[i] == 0 and y[j] > 0}
             seen = [i for i in range(len(spans)) if i not in unknown]
@@ -183,7 +193,9 @@ def train(texts: list[str]) -> dict:
 
 
 def beliefs(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, chain_potential: np.ndarray, skip_potential: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Loopy belief propagation: each node's belief, from log potentials; exact where the graph is a tree of small depth."""
+    """Loopy belief propagation: each node's belief, from log potentials; exact where the graph is a tree.
+
+    A sweep looks only at the edges of nodes to which a message changed in the sweep before."""
     k = unary.shape[1]
     edges = np.concatenate([chain, skip]).astype(np.int64).reshape(-1, 2)
     norm = lambda z: np.exp(z - z.max(-1, keepdims=True)) / np.exp(z - z.max(-1, keepdims=True)).sum(-1, keepdims=True)
@@ -192,16 +204,21 @@ def beliefs(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray, chain_potent
     potential = np.concatenate([np.broadcast_to(np.exp(chain_potential), (len(chain), k, k)), np.broadcast_to(np.exp(skip_potential), (len(skip), k, k))])
     a, b = edges[:, 0], edges[:, 1]
     to_b, to_a = np.zeros((len(edges), k)), np.zeros((len(edges), k))  # log messages
+    total, live = unary.astype(float), np.arange(len(edges))
     for _ in range(sweeps):
-        total = unary.copy()
-        np.add.at(total, b, to_b)
-        np.add.at(total, a, to_a)
-        from_a, from_b = norm(total[a] - to_a), norm(total[b] - to_b)
-        new_b, new_a = np.log(norm(np.log(np.einsum("ei,eij->ej", from_a, potential) + 1e-30))), np.log(norm(np.log(np.einsum("ej,eij->ei", from_b, potential) + 1e-30)))
-        to_b, to_a = 0.5 * to_b + 0.5 * new_b, 0.5 * to_a + 0.5 * new_a
-    total = unary.copy()
-    np.add.at(total, b, to_b)
-    np.add.at(total, a, to_a)
+        e, f, p, old_b, old_a = a[live], b[live], potential[live], to_b[live], to_a[live]
+        from_a, from_b = norm(total[e] - old_a), norm(total[f] - old_b)
+        new_b, new_a = np.log(norm(np.log(np.einsum("ei,eij->ej", from_a, p) + 1e-30))), np.log(norm(np.log(np.einsum("ej,eij->ei", from_b, p) + 1e-30)))
+        step_b, step_a = 0.5 * (new_b - old_b), 0.5 * (new_a - old_a)
+        to_b[live], to_a[live] = old_b + step_b, old_a + step_a
+        np.add.at(total, f, step_b)
+        np.add.at(total, e, step_a)
+        moved = np.zeros(len(total), bool)
+        moved[f[np.abs(step_b).max(1) >= SETTLED]] = True
+        moved[e[np.abs(step_a).max(1) >= SETTLED]] = True
+        live = np.flatnonzero(moved[a] | moved[b])
+        if not live.size:
+            break
     return norm(total)
 
 
@@ -215,9 +232,9 @@ def find(texts: list[str | None], model: dict, least: float = BELIEF) -> list[tu
             offset = len(nodes)
             nodes += [(i, s, e) for s, e in spans]
             rows += _features(text, spans)
-            for pairs, out in zip(_edges(text, spans), (chain, skip), strict=True):
-                out += [(a + offset, b + offset) for a, b in pairs]
             clamp.append(_clamped(spans, base[i]))
+            for pairs, out in zip(_edges(text, spans, clamp[-1]), (chain, skip), strict=True):
+                out += [(a + offset, b + offset) for a, b in pairs]
     added: list[list] = [[] for _ in texts]
     if nodes:
         unary = model["weights"][np.array(rows)].sum(1).astype(float)

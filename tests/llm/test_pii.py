@@ -54,6 +54,36 @@ def test_distant_repeat_gets_the_label_of_its_twin():
     assert base == [(6, "phone", 18)] and [a[1] for a in added] == ["phone"]
 
 
+def _model(strength):
+    k = len(pii.KINDS) + 1
+    return {"weights": np.zeros((1 << pii.BITS, k), np.float32), "chain": np.zeros((k, k)), "skip": np.where(np.eye(k) > 0, strength, -strength)}
+
+
+def test_every_one_of_many_repeats_hears_of_its_twin():
+    bare = ("word " * 50 + "or 12005551234 later ") * 60
+    for text in ("reach +12005551234 here " + bare, bare + "reach +12005551234 here", bare + "reach +12005551234 here " + bare):
+        (base, added), = pii.find([text], _model(3.0))
+        assert [s[1] for s in base] == ["phone"]
+        assert [s[1] for s in added] == ["phone"] * text.count(" 12005551234") and all(text[s:e] == "12005551234" for s, _, e in added)
+
+
+def test_repeats_that_no_pattern_knows_stay_unlabelled():
+    (base, added), = pii.find([("word " * 50 + "or 12005551234 later ") * 60], _model(3.0))
+    assert not base and not added
+
+
+def test_messages_go_on_until_they_settle():
+    n, k = 40, 3
+    unary, link = np.zeros((n, k)), np.where(np.eye(k) > 0, 3.0, -3.0)
+    unary[0] = -30.0
+    unary[0, 1] = 30.0
+    chain = np.array([(i, i + 1) for i in range(n - 1)])
+    step, exact = np.exp(link) / np.exp(link).sum(1, keepdims=True), [np.array([0.0, 1.0, 0.0])]
+    for _ in range(n - 1):
+        exact.append(exact[-1] @ step)
+    assert np.allclose(pii.beliefs(unary, chain, np.zeros((0, 2)), link, link), exact, atol=1e-4)
+
+
 def test_edge_cases(spark):
     model = pii.train([])
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (None, "a@b.co", "c"), (3, "a@b.co", "d"), (3, "a@b.co", "d")], "doc_id long, text string, spans string")
