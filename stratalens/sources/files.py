@@ -88,9 +88,9 @@ def short_stat(lines_: DataFrame) -> DataFrame:
 def blame(porcelain: DataFrame) -> DataFrame:
     """Line-porcelain rows (file, n, line) to (file, line, author, code): code rows start with a tab, and take what came before."""
     w = Window.partitionBy("file").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
-    marked = porcelain.withColumn("author", F.last(F.when(F.col("line").startswith("author "), F.substring("line", 8, 1000)), ignorenulls=True).over(w))
+    marked = porcelain.withColumn("author", F.last(F.when(F.col("line").startswith("author "), F.expr("substring(line, 8)")), ignorenulls=True).over(w))
     code = marked.filter(F.col("line").startswith("\t"))
-    return code.select("file", F.row_number().over(Window.partitionBy("file").orderBy("n")).alias("line"), "author", F.substring("line", 2, 100000).alias("code"))
+    return code.select("file", F.row_number().over(Window.partitionBy("file").orderBy("n")).alias("line"), "author", F.expr("substring(line, 2)").alias("code"))
 
 
 def branches(names: DataFrame) -> DataFrame:

@@ -83,7 +83,7 @@ def short_status(status: DataFrame) -> DataFrame:
     x, y = F.substring("line", 1, 1), F.substring("line", 2, 1)
     both = F.substring("line", 1, 2)
     kind = F.when(both == "??", "untracked").when(both.isin("UU", "AA", "DD", "AU", "UA", "DU", "UD"), "conflict").when(x != " ", "staged").when(y != " ", "unstaged")
-    return status.select("id", kind.alias("kind"), F.substring("line", 4, 1000).alias("path"))
+    return status.select("id", kind.alias("kind"), F.expr("substring(line, 4)").alias("path"))
 
 
 def diff_stats(stats: DataFrame) -> DataFrame:

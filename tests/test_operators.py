@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stratalens.functions import text as T
 from stratalens.operators import catalog, code, graph, reports, scan, search
-from stratalens.sources import manifests
+from stratalens.sources import files, manifests
 from stratalens.sources.corpus import FILES, MANIFESTS
 from stratalens.plans import review_queries
 from stratalens.streaming import changes
@@ -101,3 +101,10 @@ def test_sinks(spark, tmp_path):
 def test_reviews(spark):
     assert {(r.name, r.comment) for r in review_queries.q_comments_above(spark, "").collect()} == {("add", "Adds."), ("run", "Runs it.")}
     assert {r.id: r.valid for r in review_queries.q_verified(spark, "").collect()} == {1: True, 2: False, 3: False}
+
+
+def test_long_lines_are_not_cut(spark):
+    code, author, path = "x" * 150_000, "n" * 1_500, "p/" * 1_000 + "é"
+    lines = spark.createDataFrame([("f", 1, "author " + author), ("f", 2, "\t" + code)], "file string, n int, line string")
+    assert [tuple(r) for r in files.blame(lines).collect()] == [("f", 1, author, code)]
+    assert changes.short_status(spark.createDataFrame([(1, " M " + path)], "id int, line string")).first().path == path
