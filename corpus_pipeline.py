@@ -37,10 +37,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the one with the least id (five-word shingles, similarity 0.8)."""
-    stays = near_duplicates(docs, width=5).filter("kept and doc_id is not null").select(F.col("doc_id").alias("stays")).distinct()
-    known = docs.join(stays, docs.doc_id == stays.stays, "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    """One document of each near-duplicate group stays, the one with the least id (five-word shingles, similarity 0.8). Rows that
+    share an id are told apart by their texts; of rows equal in both one stays."""
+    known = docs.filter("doc_id is not null").withColumn("__hash", F.xxhash64("doc_id", "text"))
+    ids = known.groupBy(F.col("doc_id").alias("__twice")).agg(F.min("__hash").alias("low"), F.max("__hash").alias("high"))
+    twice = written(ids.filter("low < high").select("__twice"), "twice")
+    own = F.when(F.col("__twice").isNull(), F.col("doc_id").cast("long")).otherwise(F.col("__hash"))
+    keyed = known.join(twice, F.col("doc_id") == F.col("__twice"), "left").withColumn("__key", own)
+    near = near_duplicates(keyed.select(F.col("__key").alias("doc_id"), "text"), width=5)
+    groups = keyed.select("__key", "doc_id").distinct().join(near.select(F.col("doc_id").alias("__key"), "component_id").distinct(), "__key")
+    stays = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("first")).select(F.col("first.__key").alias("__stays"))
+    known = keyed.join(stays, F.col("__key") == F.col("__stays"), "left_semi").dropDuplicates(["__key", "doc_id", "text"])
+    return known.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -48,3 +48,11 @@ def test_odd_tables_go_through(spark, sf):
             assert now.columns == docs.columns
         found = P.STAGES[-1][1](spark, now, sf).collect()
         assert len(found) == (2 if rows is docs else 0)
+
+
+def test_rows_that_share_an_id_stay_unless_equal_or_near(spark, sf):
+    text = lambda k: " ".join(f"w{k * j % 101}x{j * j % 89}" for j in range(1, 120))
+    rows = [(1, text(3)), (1, text(5)), (1, text(5)), (2, text(5) + " end"), (3, text(7)), (4, text(11)), (4, text(7) + " end"), (4, text(13)), (5, None), (5, text(17))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    stay = [(1, text(3)), (1, text(5)), (3, text(7)), (4, text(11)), (4, text(13)), (5, None), (5, text(17))]
+    assert _collect(P.near_stage(spark, docs, sf)) == sorted(stay, key=str)
