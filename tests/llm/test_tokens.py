@@ -1,6 +1,7 @@
 import re
 import time
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,7 +29,14 @@ def test_shared_prefixes_give_the_plain_counts(words):
     assert tokens.count_tokens(words, PIECES, -4.0) == [_plain(w, PIECES, -4.0) for w in words]
 
 
-def test_documents_against_brute_force(spark, sf):
+def test_walk_goes_on_between_calls():
+    words = sorted(tokens.MARK + w for w in ("a", "ab", "abc", "abcab", "b", "bc", "cab"))
+    walk = tokens.Walk(PIECES, -4.0)
+    assert [n for w in words for n in walk.tokens([w])] == tokens.count_tokens(words, PIECES, -4.0)
+
+
+@pytest.mark.parametrize("hot", [0, 5, tokens.HOT])
+def test_documents_against_brute_force(spark, sf, hot):
     pieces, byte_score = tokens.load()
     memo = {}
     truth = {}
@@ -38,7 +46,7 @@ def test_documents_against_brute_force(spark, sf):
             if w not in memo:
                 memo[w] = _plain(tokens.MARK + w, pieces, byte_score)
         truth[r.doc_id] = (len(words), len(set(words)), sum(memo[w] for w in words))
-    assert {r.doc_id: (r.n_pretokens, r.n_distinct, r.n_tokens) for r in tokens.op10_token_counts(spark, sf).collect()} == truth
+    assert {r.doc_id: (r.n_pretokens, r.n_distinct, r.n_tokens) for r in tokens.token_counts(spark.read.parquet(f"{sf}/documents.parquet"), hot=hot).collect()} == truth
 
 
 def test_edge_cases(spark):
