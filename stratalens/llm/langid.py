@@ -14,16 +14,18 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import bounded_batches, table
+from stratalens.llm.storage import bounded_batches, table, trained
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 HASH_BITS = 16
 LEXICON = 4000
 #: Bound of the training sample: documents are taken, in hash order, until a language has so many words.
 TRAIN_WORDS = 40_000
+#: Bound of the languages learned: those with most documents.
+LANGUAGES = 200
 WORD_CHARS = 12
 SEQUENCE, BATCH, STEPS, RATE, DECAY = 48, 192, 70, 0.15, 1e-4
 #: Chance that a training sequence goes on to another language after a segment of 3 to 24 words.
@@ -213,30 +215,34 @@ def _has_letter(text: str | None) -> bool:
     return any(c.isalpha() for c in text or "")
 
 
-def fit(docs: DataFrame, words: int = TRAIN_WORDS) -> dict:
+def _train_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> dict:
+        texts, langs, total = [], [], {}
+        for r in sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: (r["lang"], r["h"], r["text"])):
+            if total.get(r["lang"], 0) < words:
+                total[r["lang"]] = total.get(r["lang"], 0) + r["size"]
+                texts.append(r["text"])
+                langs.append(r["lang"])
+        return train(texts, langs) if texts else {"langs": []}
+
+    return run
+
+
+def fit(docs: DataFrame, words: int = TRAIN_WORDS, languages: int = LANGUAGES) -> dict:
     """Train on `docs` (doc_id, text, lang) with text and language: documents in hash order until a language has `words` words,
-    or all it has. Where words are long or there are no spaces, every WORD_CHARS characters count as a word, and a text gives no
-    more than its first words * WORD_CHARS characters, which fill the sample. Two scans: sums over ranges of the hash, each
-    2^(1/16) times the one before, so that the last one adds few rows; then the texts of the ranges that are needed."""
+    or all it has; the `languages` with most documents are learned. Where words are long or there are no spaces, every WORD_CHARS
+    characters count as a word, and a text gives no more than its first words * WORD_CHARS characters, which fill the sample. Two
+    scans: sums over ranges of the hash, each 2^(1/16) times the one before, so that the last one adds few rows; then the texts of
+    the ranges that are needed, which one executor task learns from."""
     known = docs.filter("lang is not null and text is not null").filter(F.col("text").rlike(r"\p{L}")).select("lang", "text", F.xxhash64(F.lit(5), "doc_id", "text").alias("h"))
     known = known.withColumn("size", F.greatest(F.length("text") - F.length(F.replace("text", F.lit(" "), F.lit(""))) + 1, F.ceil(F.length("text") / WORD_CHARS)))
     known = known.withColumn("range", F.floor(F.log2(F.col("h").cast("double") + float(1 << 63) + 1) * 16))
-    last, total = {}, {}
-    for r in sorted(known.groupBy("lang", "range").agg(F.sum("size").alias("size")).collect()):
-        if total.get(r.lang, 0) < words:
-            last[r.lang], total[r.lang] = r.range, total.get(r.lang, 0) + r.size
-    if not last:
-        return {"langs": []}
-    ends = docs.sparkSession.createDataFrame(list(last.items()), "lang string, last long")
-    picked = known.join(F.broadcast(ends), "lang").filter("range <= last").select("lang", "h", "size", F.substring("text", 1, words * WORD_CHARS).alias("text")).collect()
-    picked.sort(key=lambda r: (r.lang, r.h, r.text))
-    texts, langs, total = [], [], {}
-    for r in picked:
-        if total.get(r.lang, 0) < words:
-            total[r.lang] = total.get(r.lang, 0) + r.size
-            texts.append(r.text)
-            langs.append(r.lang)
-    return train(texts, langs)
+    sums = known.groupBy("lang", "range").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"))
+    before = F.sum("size").over(Window.partitionBy("lang").orderBy("range")) - F.col("size")
+    last = sums.withColumn("before", before).groupBy("lang").agg(F.max(F.when(F.col("before") < words, F.col("range"))).alias("last"), F.sum("n").alias("n"))
+    ends = last.orderBy(F.desc("n"), "lang").limit(languages).select("lang", "last")
+    picked = known.join(F.broadcast(ends), "lang").filter("range <= last").select("lang", "h", "size", F.substring("text", 1, words * WORD_CHARS).alias("text"))
+    return trained(picked, _train_rows(words))
 
 
 def label(column: pa.Array, model: dict) -> dict[str, list | np.ndarray]:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import bounded_batches, table
+from stratalens.llm.storage import bounded_batches, table, trained
 from stratalens.llm.textbytes import slices
 
 #: Kinds in their order, and their patterns.
@@ -39,6 +39,8 @@ MARK = re.compile(r"[0-9@]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Bound of the training sample: documents with candidate tokens, in hash order.
 TRAIN_ROWS = 3_000
+#: Longer texts take no part in training.
+TRAIN_BYTES = 1 << 18
 BITS, STEPS, BELIEF = 14, 200, 0.8
 #: Messages are settled when none changes by so much; loops whose messages keep turning are left after so many sweeps.
 SETTLED, SWEEPS = 1e-7, 10_000
@@ -262,13 +264,19 @@ def _digest(spans: list[tuple[int, str, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for s, k, e in spans)
 
 
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> dict:
+    rows = sorted((r["h"], r["text"]) for batch in batches for r in batch.to_pylist())
+    return train([text for _, text in rows])
+
+
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Train on at most `rows` texts with candidate tokens, in hash order of doc_id and text; no labels are read."""
+    """Train, in one executor task, on at most `rows` texts of at most TRAIN_BYTES with candidate tokens, in hash order of doc_id and
+    text; no labels are read."""
     known = docs.select("text", F.xxhash64(F.lit(9), "doc_id", "text").alias("h")).filter("text is not null")
     total = known.count()
     share = min(1.0, 8.0 * rows / max(total, 1))
-    picked = known.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).filter(F.col("text").rlike("[0-9@]")).orderBy("h", "text").limit(rows).collect()
-    return train([r.text for r in picked])
+    picked = known.filter(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)) + 1).filter((F.octet_length("text") <= TRAIN_BYTES) & F.col("text").rlike("[0-9@]")).orderBy("h", "text").limit(rows)
+    return trained(picked, _train_rows)
 
 
 def personal_data(docs: DataFrame, model: dict) -> DataFrame:

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import time
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a local one is set for the session."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local one is set for the session if the executors run in
+    the driver's process; on a cluster they couldn't see it, and that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="stratalens-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -35,6 +41,19 @@ def written(df: DataFrame, tag: str, partitions: int | None = None) -> DataFrame
     return _at(spark.read.schema(df.schema).parquet(path), path)
 
 
+def trained(rows: DataFrame, train: Callable[[Iterator[pa.RecordBatch]], dict]) -> dict:
+    """The model that `train` makes of `rows`, a bounded sample, in one executor task; only the model comes to the driver.
+
+    Rows come in any order.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(batches), 5)], pa.binary())], ["model"])
+
+    made = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else train(iter(()))
+
+
 def _at(df: DataFrame, path: str | None) -> DataFrame:
     df.written_at = path
     return df

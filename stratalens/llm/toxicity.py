@@ -3,7 +3,7 @@
 Voters are lexicon entries (whole words) and patterns (strings of 4 to 6 bytes within words, and beginnings of words) whose presence goes with
 labelled toxic documents. A generative label model estimates, by expectation maximisation over a bounded sample of labelled
 rows, each voter's firing rates in both classes, the annotator's accuracy (the given labels are one more, noisy voter) and the
-voters' correlations within a class, by which dependent evidence is discounted. A sparse linear classifier over many more
+voters' correlations: a voter's rate depends on the class and on the vote of the voter that it goes with most. A sparse linear classifier over many more
 words and patterns is then trained on the posterior labels, and scores any text.
 """
 
@@ -18,17 +18,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.langid import held_out
-from stratalens.llm.storage import bounded_batches, table
+from stratalens.llm.storage import bounded_batches, table, trained
 from stratalens.llm.textbytes import Spans, slices, text_bytes
 
 #: Bound of the training sample, in hash order of doc_id.
 TRAIN_ROWS = 6_000
+#: Longer texts take no part in training.
+TRAIN_BYTES = 1 << 18
 VOTERS, FEATURES = 160, 4_000
 NGRAMS = (4, 5, 6)
 PREFIXES = (3, 5, 7, 9)
 PREDICTED_AT = 0.7
 TABLE_BITS = 20
 ROUNDS, STEPS = 25, 700
+#: Rounds before the voters' forest is learned, correlation of its edges at least, and pseudo-rows of a voter's own rate.
+SETTLE, CORRELATED, SHRINK = 5, 0.1, 2.0
 SLICE = 1 << 19  # bytes of text at once: a text's features take some hundred times its size
 
 
@@ -86,13 +90,35 @@ def _pairs(column: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray]:
     return row[new], feat[new]
 
 
+def _forest(centred: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Parent of each voter (-1: none) in the forest of the strongest correlations of at least `least`, and an order in which parents
+    come first: Prim's algorithm over the residual correlations."""
+    m = centred.shape[1]
+    scale = np.sqrt(np.maximum((centred * centred).sum(0), 1e-9))
+    rho = np.abs(centred.T @ centred / np.outer(scale, scale))
+    best, link, done, order = np.zeros(m), np.full(m, -1), np.zeros(m, bool), []
+    for _ in range(m):
+        v = int(np.argmax(np.where(done, -1.0, best)))
+        done[v] = True
+        order.append(v)
+        closer = ~done & (rho[v] > best) & (rho[v] >= least)
+        best[closer], link[closer] = rho[v][closer], v
+    return link, np.array(order, np.int64)
+
+
 def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, dict]:
-    """Posterior of class 1 for each row, from binary voters and given labels (-1: none), with the fitted model."""
+    """Posterior of class 1 for each row, from binary voters and given labels (-1: none), with the fitted model.
+
+    A tree-augmented generative model: within a class a voter depends on one other voter at most, that with which its votes go
+    together most once the class is known, so correlations are parameters of the model, p(vote | class, parent's vote), and not counted
+    as further evidence. The forest is learned once the classes have settled, and all tables are fitted by expectation maximisation.
+    The given labels are one more voter, with an accuracy of its own in both classes.
+    """
     n, m = votes.shape
     given = labels >= 0
     post = np.where(given, np.clip(labels, 0.05, 0.95), 0.1).astype(float)
-    weight, right = np.ones(m), np.array([0.95, 0.95])
-    for _ in range(ROUNDS):
+    right, link, has = np.array([0.95, 0.95]), np.full(m, -1), np.zeros(0, np.int64)
+    for t in range(ROUNDS):
         p1 = post.sum()
         prior = np.clip((p1 + 1) / (n + 10), 1e-3, 0.9)
         on = np.clip((post @ votes + 0.5) / (p1 + 2), 1e-4, 1 - 1e-4)
@@ -100,18 +126,27 @@ def label_model(votes: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, dict
         if given.any():
             g = post[given]
             right = np.clip([((g * labels[given]).sum() + 19) / (g.sum() + 20), (((1 - g) * (1 - labels[given])).sum() + 19) / ((1 - g).sum() + 20)], 0.6, 0.999)
-        # Correlations within the classes; a voter whose vote others repeat counts by its share.
-        centred = votes - np.outer(post, on) - np.outer(1 - post, off)
-        cov = centred.T @ centred / n
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        rho = np.clip(cov / np.outer(scale, scale), 0, 1)
-        rho[rho < 0.1] = 0
-        weight = 1.0 / np.maximum(rho.sum(1), 1.0)
-        fired, silent = weight * np.log(on / off), weight * np.log((1 - on) / (1 - off))
-        logit = np.log(prior / (1 - prior)) + votes @ (fired - silent) + silent.sum()
+        if t == SETTLE:
+            link, _ = _forest(votes - np.outer(post, on) - np.outer(1 - post, off), CORRELATED)
+            has = np.flatnonzero(link >= 0)
+        # Log odds of a vote given its parent's: rates (class, parent's vote, voter), shrunk to the voter's own where seen seldom.
+        rates = np.stack([np.stack([on, on]), np.stack([off, off])])
+        if has.size:
+            both, parent = votes[:, has], votes[:, link[has]]
+            for c, weight, own in ((0, post, on), (1, 1 - post, off)):
+                for v in (0, 1):
+                    at = weight[:, None] * (parent == v)
+                    rates[c, v, has] = np.clip(((at * both).sum(0) + SHRINK * own[has]) / (at.sum(0) + SHRINK), 1e-5, 1 - 1e-4)
+        logit = np.log(prior / (1 - prior)) + np.zeros(n)
+        alone = np.flatnonzero(link < 0)
+        fired, silent = np.log(rates[0] / rates[1]), np.log((1 - rates[0]) / (1 - rates[1]))
+        logit += votes[:, alone] @ (fired[0] - silent[0])[alone] + silent[0][alone].sum()
+        if has.size:
+            up, down = np.where(parent == 1, fired[1][has], fired[0][has]), np.where(parent == 1, silent[1][has], silent[0][has])
+            logit += np.where(both == 1, up, down).sum(1)
         logit += np.where(labels == 1, np.log(right[0] / (1 - right[1])), 0) + np.where(labels == 0, np.log((1 - right[0]) / right[1]), 0)
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
-    return post, {"prior": prior, "on": on, "off": off, "weight": weight, "annotator": right}
+    return post, {"prior": prior, "on": on, "off": off, "parent": link, "rates": rates, "annotator": right}
 
 
 def train(texts: list[str | None], labels: np.ndarray) -> dict:
@@ -189,16 +224,21 @@ def score(column: pa.Array, model: dict) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30))), count
 
 
+def _train_rows(batches: Iterator[pa.RecordBatch]) -> dict:
+    rows = sorted((r["h"], r["doc_id"], r["text"] or "", r["toxic"]) for batch in batches for r in batch.to_pylist())
+    return train([r[2] for r in rows], np.array([r[3] for r in rows], np.int64))
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
-    """Train on documents (doc_id, text) with a label in `labels` (doc_id, toxic): at most `rows`, in hash order of doc_id.
+    """Train, in one executor task, on documents (doc_id, text) with a label in `labels` (doc_id, toxic): at most `rows` ids, in hash
+    order of doc_id, and their texts of at most TRAIN_BYTES.
 
-    Null labels are left out; of several labels of one document the highest counts.
+    Null labels are left out; of several labels of one document the highest counts; of several texts of one id the least.
     """
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.xxhash64(F.lit(3), "doc_id").alias("h"))
     chosen = known.orderBy("h", "doc_id").limit(rows)
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).collect()
-    found.sort(key=lambda r: (r.h, r.doc_id))
-    return train([r.text for r in found], np.array([r.toxic for r in found], np.int64))
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES)
+    return trained(found.groupBy("doc_id", "toxic", "h").agg(F.min("text").alias("text")), _train_rows)
 
 
 def toxicity(docs: DataFrame, model: dict, predicted_at: float = PREDICTED_AT) -> DataFrame:

@@ -72,6 +72,7 @@ def test_languages_of_long_texts_and_beside_a_huge_text_are_learned(spark):
 def test_training_sample_has_the_words_it_promises_and_no_more_than_a_text_beyond(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(langid, "train", lambda texts, langs: seen.update({lang: [t for t, x in zip(texts, langs, strict=True) if x == lang] for lang in langs}) or {"langs": sorted(seen)})
+    monkeypatch.setattr(langid, "trained", lambda rows, learn: learn(iter(rows.toArrow().to_batches())))
     rows = [(i, "one two three four five " * (1 + i % 40), "a") for i in range(3_000)] + [(5_000 + i, "six seven", "b") for i in range(10)]
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=2_000)
     sizes = [t.count(" ") + 1 for t in seen["a"]]

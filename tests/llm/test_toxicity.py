@@ -14,7 +14,11 @@ def test_label_model_overrules_wrong_annotator_and_discounts_copies():
     given = np.where(rng.random(4000) < 0.05, 1 - truth, truth)
     post, model = toxicity.label_model(votes, given)
     assert np.mean((post > 0.5) == truth) > np.mean(given == truth)
-    assert model["weight"][0] < 0.4 < model["weight"][1]
+    # The copies hang on one another, and what they say once counts once.
+    copies = [0, 6, 7, 8, 9]
+    assert sum(model["parent"][k] in copies for k in copies) == 4
+    once, _ = toxicity.label_model(votes[:, :6], given)
+    assert np.mean((post > 0.5) != (once > 0.5)) < 0.03
 
 
 def test_held_out_scores(spark, sf):
@@ -26,6 +30,14 @@ def test_held_out_scores(spark, sf):
     assert not [i for i in held if truth[i] == 0 and rows[i].predicted]
 
 
+def test_most_toxic_held_out_rows_are_found(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r.doc_id: r for r in toxicity.op3_toxicity(spark, sf).collect()}
+    held = [(r.toxic, rows[r.doc_id].predicted) for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if rows[r.doc_id].held_out]
+    caught = sum(p for t, p in held if t == 1) / sum(t == 1 for t, _ in held)
+    assert caught >= 0.85 and sum(p for t, p in held if t == 0) <= 0.01 * len(held)
+
+
 def test_accuracy_on_unseen_texts():
     rng = np.random.default_rng(2)
     clean, bad = ["tree", "house", "water", "stone", "light", "green"], ["vilewort", "vilemug", "grotscum"]
