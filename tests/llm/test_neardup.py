@@ -84,3 +84,33 @@ def test_edge_cases(spark):
     assert [g for g in got if g[0]] == [(1, 0, 1, True), (2, 0, 2, True), (3, 2, 3, True), (4, 2, 3, False), (4, 2, 3, False), (5, 1, 5, True), (6, 1, 5, False)]
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
     assert [s.size for s in neardup.shingle_sets(pa.array(["x y " * 300_000]), 2)] == [2]
+
+
+def test_family_below_the_threshold_is_not_paired_with_itself(spark):
+    common = [f"c{k}" for k in range(82)]
+    rows = [(i, i, " ".join([*common, *(f"u{i}x{k}" for k in range(18))])) for i in range(5_000)]
+    rows += [(10_000 + i, 10_000 + i, rows[i][2].replace(f"u{i}x0 ", "new ").replace(f"u{i}x1 ", f"new{i} ")) for i in range(0, 5_000, 500)]
+    pairs = neardup.prefix_pairs(spark.createDataFrame(rows, "doc_id long, component long, text string"), 1, 80).collect()
+    assert {(i, 10_000 + i) for i in range(0, 5_000, 500)} <= {tuple(sorted(p)) for p in pairs} and len(pairs) < 5_000
+
+
+def test_prefix_pairs_lose_nothing(spark):
+    rng = np.random.default_rng(8)
+    texts = []
+    for g in range(12):
+        base = list(rng.choice([f"w{k}" for k in range(90)], int(rng.integers(5, 80))))
+        for _ in range(10):
+            copy = [w if rng.random() > 0.06 else f"e{rng.integers(400)}" for w in base]
+            texts.append(" ".join(copy[: int(len(copy) * rng.uniform(0.85, 1))]))
+    rows = [(i, i, t) for i, t in enumerate(texts)]
+    got = {tuple(sorted(p)) for p in neardup.prefix_pairs(spark.createDataFrame(rows, "doc_id long, component long, text string"), 2, 80).collect()}
+    sets = [_set(t, 2) for t in texts]
+    true = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if sets[i] and sets[i] != sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert true <= got and len(true) > 40
+
+
+def test_ids_with_several_texts_are_one_node(spark):
+    a, b, c = ("one two three four five six", "red green blue white black grey", "x1 x2 x3 x4 x5 x6")
+    rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, c), (0, c), (5, "p q r")]
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
+    assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (3, 1, False), (4, 0, False), (5, 5, True)]
