@@ -1,8 +1,9 @@
 """Mixing sources to target weights over fixed-length blocks.
 
 Each source's words are packed, document behind document, into blocks of `block_words` words (the last may be shorter).
-Every output shard draws multinomial source counts from what remains of the sources' quotas, so the whole mix meets each
-quota exactly. The k-th slot of a source is epoch k // n_blocks and position k % n_blocks of that epoch's pseudorandom
+Every output shard draws multinomial source counts under the condition that the whole mix meets each source's quota: the draws go
+down a binary tree over the shards, each node dealing its counts out to its halves, with a random number of its own seed; so any task
+draws the shards that it makes, whatever their number, and all tasks agree. The k-th slot of a source is epoch k // n_blocks and position k % n_blocks of that epoch's pseudorandom
 permutation of the block indexes (a keyed Feistel network with cycle walking), and blocks meet their documents by a join on
 (source, block index). The last slot of a source is cut to the word where its quota ends.
 """
@@ -20,11 +21,10 @@ from stratalens.llm.storage import table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 4
-#: Rows (shards x sources) of the driver's plan at most; larger mixes get larger shards.
-PLAN_ROWS = 1_000_000
-#: Sources are a dimension of the mix: their totals are planned on the driver.
-MAX_SOURCES = 1_000_000
-BUCKET_ROWS = 20_000
+#: Shards that a task draws and fills at once.
+SHARDS = 16
+#: Rows whose running sum one task takes; sums of buckets are taken in runs of WIDE.
+BUCKET_ROWS, WIDE = 2_000, 4_096
 
 
 def _round(value: np.ndarray, key: np.ndarray | int) -> np.ndarray:
@@ -94,36 +94,56 @@ def quota(size: int, target: float, block_words: int, seed: int, source: int) ->
     return epochs * blocks + slots, rest - before(slots - 1)
 
 
-def shard_plan(quotas: list[int], shard_slots: int, seed: int) -> pd.DataFrame:
-    """Multinomial source counts of each output shard, drawn from what remains of the quotas.
+def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
+    """How many of `n` draws without return are good; by its normal limit where the counts are beyond the exact generator."""
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    if good < 10**9 and bad < 10**9:
+        return int(rng.hypergeometric(good, bad, n))
+    share = good / (good + bad)
+    spread = (n * share * (1 - share) * (good + bad - n) / (good + bad - 1)) ** 0.5
+    return min(high, max(low, round(n * share + spread * rng.standard_normal())))
+
+
+def dealt(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Multinomial counts of `n` slots, given that `counts` are there in all."""
+    out, rest = np.zeros_like(counts), int(counts.sum())
+    for s in np.flatnonzero(counts):
+        have = int(counts[s])
+        out[s] = _hypergeometric(rng, have, rest - have, n)
+        n, rest = n - int(out[s]), rest - have
+    return out
 
-    Columns: shard, source, first (the source's slots before), slots.
-    """
-    left = np.array(quotas, np.int64)
-    shard_slots = max(shard_slots, -(-int(left.sum()) * max(1, len(quotas)) // PLAN_ROWS))
-    rng, rows, first, shard = np.random.default_rng(seed), [], np.zeros_like(left), 0
-    while (total := int(left.sum())) > 0:
-        want = min(shard_slots, total)
-        drawn = np.zeros_like(left)
-        while (need := want - int(drawn.sum())) > 0:
-            room = left - drawn
-            drawn += np.minimum(rng.multinomial(need, room / room.sum()), room)
-        for s in np.flatnonzero(drawn):
-            rows.append((shard, int(s), int(first[s]), int(drawn[s])))
-        first, left, shard = first + drawn, left - drawn, shard + 1
-    return pd.DataFrame(rows, columns=["shard", "source_no", "first", "slots"], dtype="int64")
-
-
-def _slots(seed: int):
+
+def shards(quotas: np.ndarray, shard_slots: int, seed: int, low: int, high: int) -> Iterator[tuple[int, int, int, int]]:
+    """(shard, source, the source's slots before, slots) of the shards from `low` to `high`."""
+    total = int(quotas.sum())
+    todo = [(0, -(-total // shard_slots), quotas, np.zeros_like(quotas))]
+    while todo:
+        a, b, counts, first = todo.pop()
+        if b <= low or a >= high or a >= b:
+            continue
+        if b - a == 1:
+            yield from ((a, int(s), int(first[s]), int(counts[s])) for s in np.flatnonzero(counts))
+            continue
+        middle = (a + b) // 2
+        left = dealt(counts, (middle - a) * shard_slots, np.random.default_rng([seed, a, b]))
+        todo += [(middle, b, counts - left, first + left), (a, middle, left, first)]
+
+
+def _slots(seed: int, shard_slots: int, shared):
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        quotas, blocks = shared.value
         for frame in frames:
-            for row in frame.itertuples(index=False):
-                for low in range(row.first, row.first + row.slots, 65536):
-                    slot = np.arange(low, min(low + 65536, row.first + row.slots))
-                    epoch, block = slot // row.blocks, np.empty(slot.size, np.int64)
+            for group in frame["id"]:
+                for shard, source, first, slots in shards(quotas, shard_slots, seed, int(group) * SHARDS, (int(group) + 1) * SHARDS):
+                    n = int(blocks[source])
+                    slot = np.arange(first, first + slots)
+                    epoch, block = slot // n, np.empty(slot.size, np.int64)
                     for e in np.unique(epoch):
-                        block[epoch == e] = permute(slot[epoch == e] % row.blocks, row.blocks, _keys(seed, row.source_no, int(e)))
-                    yield pd.DataFrame({"shard": row.shard, "source_no": row.source_no, "slot": slot, "block": block})
+                        block[epoch == e] = permute(slot[epoch == e] % n, n, _keys(seed, source, int(e)))
+                    yield pd.DataFrame({"shard": shard, "source_no": source, "slot": slot, "block": block})
 
     return expand
 
@@ -134,13 +154,12 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 8192, seed:
     documents: doc_id, size, source_size, target, taken, one row for each row of `docs`. slots: shard, source_no, slot,
     block, the mix itself; a source's blocks follow its documents in the order of a hash bucket, doc_id and text hash.
     Null or empty texts have size 0 and taken 0; a null source is a source of its own, last in order; repeated rows are
-    taken one by one; an empty table gives two empty tables. Other columns are ignored.
+    taken one by one; an empty table gives two empty tables. Other columns are ignored. Sources are a dimension of the mix: their
+    totals, some hundred bytes for each, are planned on the driver and sent to all executors.
     """
     spark = docs.sparkSession
     sized = written(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64("text").alias("tie")), "mix-sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(totals) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")).collect()
     totals.sort(key=lambda r: (r.source is None, [ord(c) for c in r.source or ""]))
     sizes = [int(r.source_size) for r in totals]
     goal = targets(sizes)
@@ -150,14 +169,18 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 8192, seed:
         "source string, source_no long, source_size long, target double, blocks long, quota long, last_words long, buckets long",
     )
     # Word positions within a source: sums of hash buckets first, so that no window holds a whole source.
-    known = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), "buckets"))
+    known = sized.join(sources, sized.source.eqNullSafe(sources.source)).drop(sources.source).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "tie"), "buckets"))
     full = known.filter("size > 0")
-    sums = full.groupBy("source_no", "bucket").agg(F.sum("size").alias("words"))
-    before = sums.select("source_no", "bucket", (F.sum("words").over(Window.partitionBy("source_no").orderBy("bucket")) - F.col("words")).alias("before"))
+    sums = full.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")).withColumn("wide", F.floor(F.col("bucket") / WIDE))
+    wider = sums.groupBy("source_no", "wide").agg(F.sum("words").alias("wide_words"))
+    wider = wider.select("source_no", "wide", (F.sum("wide_words").over(Window.partitionBy("source_no").orderBy("wide")) - F.col("wide_words")).alias("wide_before"))
+    within = F.sum("words").over(Window.partitionBy("source_no", "wide").orderBy("bucket")) - F.col("words")
+    before = sums.withColumn("within", within).join(wider, ["source_no", "wide"]).select("source_no", "bucket", (F.col("wide_before") + F.col("within")).alias("before"))
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = full.withColumn("end", F.sum("size").over(within)).join(before, ["source_no", "bucket"]).withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("size"))
-    plan = spark.createDataFrame(shard_plan([p[0] for p in plans], shard_slots, seed), "shard long, source_no long, first long, slots long")
-    slots = plan.join(sources.select("source_no", "blocks"), "source_no").select("shard", "source_no", "first", "slots", "blocks").repartition("shard", "source_no").mapInPandas(_slots(seed), "shard long, source_no long, slot long, block long")
+    quotas, blocks = np.array([p[0] for p in plans], np.int64), np.array([-(-x // block_words) for x in sizes], np.int64)
+    groups = -(-int(quotas.sum()) // (shard_slots * SHARDS))
+    slots = spark.range(0, groups, 1, max(1, min(groups, 10_000))).mapInPandas(_slots(seed, shard_slots, spark.sparkContext.broadcast((quotas, blocks))), "shard long, source_no long, slot long, block long")
     # Times that a block is taken whole, and the words of it that the source's last slot takes.
     last = F.col("slot") == F.col("quota") - 1
     taken = slots.join(sources.select("source_no", "quota", "last_words"), "source_no").groupBy("source_no", "block").agg(F.sum(F.when(last, 0).otherwise(1)).alias("times"), F.max(F.when(last, F.col("last_words"))).alias("cut"))

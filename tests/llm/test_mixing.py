@@ -19,14 +19,24 @@ def test_targets_share_the_excess():
     assert mixing.targets([0, 5]) == [0.0, 5.0] and mixing.targets([]) == [] and mixing.targets([0, 0]) == [0.0, 0.0]
 
 
-def test_plan_meets_quotas_exactly():
-    quotas = [17, 0, 300, 4_000]
-    plan = mixing.shard_plan(quotas, 256, 3)
-    assert plan.groupby("source_no").slots.sum().to_dict() == {0: 17, 2: 300, 3: 4000}
-    for s, part in plan.groupby("source_no"):
-        part = part.sort_values("first")
-        assert (part["first"].to_numpy() == np.concatenate([[0], np.cumsum(part.slots)[:-1]])).all()
-    assert (plan.groupby("shard").slots.sum() <= 256).all() and len(plan.groupby("shard")) >= 16
+def test_shards_meet_quotas_exactly_and_any_task_draws_them_alike():
+    quotas = np.array([17, 0, 300, 4_000])
+    every = list(mixing.shards(quotas, 256, 3, 0, 17))
+    for s, quota in enumerate(quotas):
+        part = sorted((first, n) for _, source, first, n in every if source == s)
+        assert sum(n for _, n in part) == quota
+        assert [f for f, _ in part] == [0, *np.cumsum([n for _, n in part])[:-1]] or not part
+    sizes = np.bincount([r[0] for r in every], [r[3] for r in every])
+    assert (sizes[:-1] == 256).all() and sizes.sum() == quotas.sum()
+    apart = [r for low in range(0, 17, 4) for r in mixing.shards(quotas, 256, 3, low, low + 4)]
+    assert sorted(apart) == sorted(every)
+
+
+def test_shards_of_a_very_large_mix():
+    quotas = np.array([10**12, 3 * 10**12, 5])
+    rows = list(mixing.shards(quotas, 8192, 3, 10**8, 10**8 + 40))
+    by = np.bincount([r[1] for r in rows], [r[3] for r in rows], 2)
+    assert len({r[0] for r in rows}) == 40 and by.sum() == 40 * 8192 and abs(by[0] / by.sum() - 0.25) < 0.01
 
 
 def _check(docs, rows):
