@@ -1,51 +1,11 @@
-"""Project facts: type rules, processes and their interfaces, repositories, documents to update."""
+"""Project facts: processes and their interfaces, repositories, documents to update."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.sources.files import base_name
-
-# Project types (type, priority, patterns); '*.x' is a suffix, a plain name is a file, '"x"' is a word of content.
-TYPE_RULES = [
-    ("android-app", 100, ["AndroidManifest.xml", "build.gradle"]),
-    ("cmake", 70, ["CMakeLists.txt"]),
-    ("react", 80, ["package.json", '"react"']),
-    ("vue", 80, ["package.json", '"vue"']),
-    ("python", 60, ["requirements.txt", "pyproject.toml", "setup.py"]),
-    ("rust", 75, ["Cargo.toml", "*.rs"]),
-    ("go", 75, ["go.mod", "*.go"]),
-    ("java-maven", 70, ["pom.xml"]),
-]
-
-
-def rules_table(spark) -> DataFrame:
-    rows = [(i, t, p, len(ps), x, "suffix" if x.startswith("*.") else "content" if x.startswith('"') else "file", x.strip('*"')) for i, (t, p, ps) in enumerate(TYPE_RULES) for x in ps]
-    return spark.createDataFrame(rows, "rule int, type string, priority int, n_patterns int, pattern string, kind string, value string")
-
-
-def detect_types(files: DataFrame, k: int = 3, least: float = 0.5) -> DataFrame:
-    """Types of each project (project, path, content): score 1 for a suffix, 1.5 for a file, 0.5 for a word; times
-    (1 + priority / 100) and the share of patterns matched (a word counts half); the k best of at least `least`."""
-    rules = rules_table(files.sparkSession)
-    names = files.select("project", base_name().alias("name"), "content")
-    exact = names.select("project", "name").distinct().join(F.broadcast(rules.filter("kind = 'file'")), F.col("name") == F.col("value")).select("project", "rule", "pattern", F.lit(1.5).alias("s"), F.lit(1.0).alias("m"))
-    suffix = names.join(F.broadcast(rules.filter("kind = 'suffix'")), F.col("name").endswith(F.col("value"))).select("project", "rule", "pattern", F.lit(1.0).alias("s"), F.lit(1.0).alias("m"))
-    content = names.join(F.broadcast(rules.filter("kind = 'content'")), F.contains("content", "value")).select("project", "rule", "pattern", F.lit(0.5).alias("s"), F.lit(0.5).alias("m"))
-    hits = exact.unionByName(suffix).unionByName(content).distinct()
-    by = hits.groupBy("project", "rule").agg(F.sum("s").alias("s"), F.sum("m").alias("m")).join(F.broadcast(rules.select("rule", "type", "priority", "n_patterns").distinct()), "rule")
-    scored = by.withColumn("score", F.round(F.col("s") * (1 + F.col("priority") / 100.0) * (F.col("m") / F.col("n_patterns")), 6)).filter(F.col("score") >= least)
-    w = Window.partitionBy("project").orderBy(F.desc("score"), "rule")
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("project", "type", "score", "rank")
-
-
-def scale(files: DataFrame) -> DataFrame:
-    """Size class of each project by files and folders: large above 5000 or 500, medium above 500 or 50."""
-    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    by = files.groupBy("project").agg(F.count(F.lit(1)).alias("files"), F.count_distinct(folder).alias("folders"))
-    return by.withColumn("scale", F.when((F.col("files") > 5000) | (F.col("folders") > 500), "large").when((F.col("files") > 500) | (F.col("folders") > 50), "medium").otherwise("small"))
-
+from stratalens.sources.files import any_of, base_name
 
 def interfaces(files: DataFrame) -> DataFrame:
     """Interface blocks in AIDL and proto files and their methods: path, protocol, interface, method."""
@@ -63,20 +23,38 @@ def communication(files: DataFrame, names: DataFrame) -> DataFrame:
     return words.join(names.select("interface").distinct(), "interface").join(process, "process").select("process", "interface")
 
 
+# Words of interface paths, configuration files, words of documents, and extensions of modules.
+INTERFACE_WORDS = ["api", "controller", "route"]
+CONFIG_PATHS = ["package.json", "requirements.txt", "pom.xml", "build.gradle", "CMakeLists.txt"]
+DOCUMENT_WORDS = ["readme", "changelog"]
+MODULE_SUFFIXES = [".py", ".js", ".ts", ".java", ".go", ".rs", ".c", ".cpp"]
+
+
 def document_changes(changes: DataFrame) -> DataFrame:
-    """Documents that changed paths (path) call for: path, type, priority, section; the first rule that fits."""
-    low = F.lower("path")
-    call = lambda kind, priority, section: F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("priority"), F.lit(section).alias("section"))
+    """Documents that changed paths (path) call for, by the first rule that fits: path, type, priority, section. Interfaces come first,
+    then configuration at the root, documents and modules, whose section is their folder's name, root without one."""
+    low, suffix = F.lower("path"), F.regexp_extract(F.lower(base_name()), r"[^.](\.[^.]*)$", 1)
+    module = F.regexp_extract("path", r"([^/]+)/[^/]*$", 1)
+    call = lambda kind, priority, section: F.struct(F.lit(kind).alias("type"), F.lit(priority).alias("priority"), section.alias("section"))
     rule = (
-        F.when(low.rlike(r"(^|/)(readme|changelog)"), call("documentation", "low", "overview"))
-        .when(low.rlike(r"(cmakelists\.txt|build\.gradle|pom\.xml|package\.json|cargo\.toml|go\.mod)"), call("build", "high", "build"))
-        .when(low.rlike(r"(^|/)tests?/|test_"), call("test", "low", "testing"))
-        .when(low.rlike(r"\.(proto|aidl|idl)$|(^|/)api/"), call("interface", "high", "interfaces"))
-        .when(low.rlike(r"\.(py|js|ts|java|kt|c|cpp|go|rs)$"), call("code", "medium", "modules"))
+        F.when(any_of(low, INTERFACE_WORDS), call("api_modified", "high", F.lit("interfaces")))
+        .when(F.col("path").isin(CONFIG_PATHS), call("config_changed", "medium", F.lit("configuration")))
+        .when(any_of(low, DOCUMENT_WORDS), call("structure_changed", "low", F.lit("overview")))
+        .when(suffix.isin(MODULE_SUFFIXES), call("module_modified", "medium", F.concat(F.lit("module "), F.when(module == "", "root").otherwise(module))))
     )
     return changes.select("path", rule.alias("r")).filter("r is not null").select("path", "r.*")
 
 
+def document_status(changes: DataFrame) -> DataFrame:
+    """Whether documents keep up with changed paths (repo, path): repo, changed, high, medium, low, and the status of the highest."""
+    calls = document_changes(changes).select("path", "priority").distinct()
+    each = changes.select("repo", "path").distinct().join(calls, "path", "left")
+    of = lambda p: F.count(F.when(F.col("priority") == p, F.lit(1))).alias(p)
+    by = each.groupBy("repo").agg(F.count(F.lit(1)).alias("changed"), of("high"), of("medium"), of("low"))
+    status = F.when(F.col("high") > 0, "need_update").when(F.col("medium") > 0, "suggest_update").when(F.col("low") > 0, "minor_update").otherwise("synced")
+    return by.withColumn("status", status)
+
+
 def cross_dependencies(repos: DataFrame, deps: DataFrame) -> DataFrame:
     """Edges between repositories (repo): a dependency (repo, name) whose name holds another repository's name, or is local by its
     version (file:, link:, workspace:). Repositories are a dimension table and are sent to all executors."""

@@ -79,12 +79,6 @@ def table_rows(files: DataFrame) -> DataFrame:
     return each.select("path", "line", F.transform(F.split(F.regexp_replace(F.trim("content"), r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)).alias("cells"))
 
 
-def processes(files: DataFrame) -> DataFrame:
-    """Whether a project (project, path) has several processes: an indicator in a path, or more than three main files."""
-    mains = F.sum(F.when(base_name().startswith("main."), 1).otherwise(0))
-    return files.groupBy("project").agg(F.coalesce(F.max(any_of(F.col("path"), PROCESS_WORDS)), F.lit(False)).alias("named"), mains.alias("mains")).withColumn("multi", F.col("named") | (F.col("mains") > 3))
-
-
 def parameters(signature: Column) -> Column:
     """Names of a parameter list: last word of each part, defaults and types off."""
     parts = F.filter(F.split(signature, ","), lambda x: F.trim(x) != "")

@@ -104,13 +104,6 @@ def q_build_system(spark, sf_dir):
     return K.build_system(_projects(spark))
 
 
-@query(f"SELECT project, count(*) AS n_files, CASE WHEN count(*) > 5 THEN 'large' WHEN count(*) > 1 THEN 'medium' ELSE 'small' END AS scale, max({_DEPTH}) AS deepest FROM {ALL} GROUP BY project")
-def q_scale(spark, sf_dir):
-    """Scale classes of projects, with small limits for the small corpus."""
-    n, depth = F.count(F.lit(1)), F.length("path") - F.length(F.replace(F.col("path"), F.lit("/"), F.lit("")))
-    return _projects(spark).groupBy("project").agg(n.alias("n_files"), F.when(n > 5, "large").when(n > 1, "medium").otherwise("small").alias("scale"), F.max(depth).alias("deepest"))
-
-
 @query(f"SELECT path, line, rule FROM (" + " UNION ALL ".join(f"SELECT path, line, '{r}' AS rule FROM {LINES} WHERE regexp_matches(content, {_q(p)}){'' if langs is None else ' AND lang IN (' + ', '.join(repr(x) for x in langs) + ')'}" for r, s, p, langs in P.SECURITY_RULES) + ")")  # noqa: F541
 def q_code_security(spark, sf_dir):
     return scan.security_issues(K.with_language(_files(spark)), "path", "content").drop("severity")

@@ -21,17 +21,6 @@ def _all(spark):
     return spark.createDataFrame([(p.split("/")[0], p, c) for p, c in ALL], "project string, path string, content string")
 
 
-RULES = sql_values([(i, t, p, len(ps), x, "suffix" if x.startswith("*.") else "content" if x.startswith('"') else "file", x.strip('*"')) for i, (t, p, ps) in enumerate(J.TYPE_RULES) for x in ps], ["rule", "type", "priority", "n_patterns", "pattern", "kind", "value"])
-
-
-@query(f"""WITH r AS (SELECT * FROM {RULES}), h AS (SELECT DISTINCT project, rule, pattern, type, priority, n_patterns, CASE kind WHEN 'file' THEN 1.5 WHEN 'suffix' THEN 1.0 ELSE 0.5 END AS s, CASE kind WHEN 'content' THEN 0.5 ELSE 1.0 END AS m FROM {SRC}, r
-  WHERE (kind = 'file' AND {NAME} = value) OR (kind = 'suffix' AND ends_with({NAME}, value)) OR (kind = 'content' AND contains(content, value))),
-  g AS (SELECT project, rule, type, round(sum(s) * (1 + priority / 100.0) * (sum(m) / n_patterns), 6) AS score FROM h GROUP BY project, rule, type, priority, n_patterns)
-SELECT project, type, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY score DESC, rule) AS rank FROM g WHERE score >= 0.5) WHERE rank <= 3""")
-def q_project_types(spark, sf_dir):
-    return J.detect_types(_all(spark))
-
-
 @query(f"SELECT folder, count(*) AS n_files FROM (SELECT unnest(list_transform(range(1, len(string_split(path, '/'))), lambda i: array_to_string(string_split(path, '/')[1:i], '/'))) AS folder FROM {SRC}) GROUP BY folder")
 def q_folders(spark, sf_dir):
     return S.folders(_all(spark))
@@ -52,11 +41,6 @@ def q_count_extensions(spark, sf_dir):
     return S.count_extensions(_all(spark), [".py", ".ts", ".test.ts", ".rb"])
 
 
-@query(f"SELECT path, CASE WHEN regexp_matches({NAME}, '^main\\.') THEN 0 WHEN {NAME} = 'index.js' THEN 1 ELSE 2 END AS rank FROM {SRC} WHERE regexp_matches({NAME}, '^main\\.') OR {NAME} IN ('index.js', 'server.go')")
-def q_entry_files(spark, sf_dir):
-    return S.entry_files(_all(spark), ["main.*", "index.js", "server.go"])
-
-
 LOG = [(1, "a1|a|ana|2024-01-01|first"), (2, "b2|b|bo|2024-01-02|fix a|b test"), (3, "c3|c|ana|2024-01-03|third"), (4, "broken")]
 
 
@@ -94,10 +78,19 @@ def q_branches(spark, sf_dir):
     return S.branches(spark.createDataFrame(BRANCHES, "name string"))
 
 
-@query(f"""SELECT path, split_part(r, '/', 1) AS type, split_part(r, '/', 2) AS priority, split_part(r, '/', 3) AS section FROM (SELECT path, CASE WHEN regexp_matches(lower(path), '(^|/)(readme|changelog)') THEN 'documentation/low/overview' WHEN regexp_matches(lower(path), '(cmakelists\\.txt|build\\.gradle|pom\\.xml|package\\.json|cargo\\.toml|go\\.mod)') THEN 'build/high/build'
-  WHEN regexp_matches(lower(path), '(^|/)tests?/|test_') THEN 'test/low/testing' WHEN regexp_matches(lower(path), '\\.(proto|aidl|idl)$|(^|/)api/') THEN 'interface/high/interfaces' WHEN regexp_matches(lower(path), '\\.(py|js|ts|java|kt|c|cpp|go|rs)$') THEN 'code/medium/modules' END AS r FROM {SRC}) WHERE r IS NOT NULL""")
+CHANGES = [("r1", "src/routes/user.ts"), ("r1", "package.json"), ("r1", "web/package.json"), ("r2", "docs/README.md"), ("r2", "src/core/run.py"), ("r2", "main.go"), ("r3", "CHANGELOG"), ("r4", "img/logo.png"), ("r5", ".py")]
+_CALLS = f"""(SELECT repo, path, CASE WHEN regexp_matches(lower(path), 'api|controller|route') THEN 'api_modified/high/interfaces' WHEN path IN ('package.json', 'requirements.txt', 'pom.xml', 'build.gradle', 'CMakeLists.txt') THEN 'config_changed/medium/configuration' WHEN regexp_matches(lower(path), 'readme|changelog') THEN 'structure_changed/low/overview'
+  WHEN regexp_matches(lower(path), '[^/.]\\.(py|js|ts|java|go|rs|c|cpp)$') THEN 'module_modified/medium/module ' || CASE WHEN contains(path, '/') THEN string_split(path, '/')[-2] ELSE 'root' END END AS r FROM {sql_values(CHANGES, ['repo', 'path'])})"""
+
+
+@query(f"SELECT path, split_part(r, '/', 1) AS type, split_part(r, '/', 2) AS priority, split_part(r, '/', 3) AS section FROM {_CALLS} WHERE r IS NOT NULL")
 def q_document_changes(spark, sf_dir):
-    return J.document_changes(_all(spark))
+    return J.document_changes(spark.createDataFrame(CHANGES, "repo string, path string"))
+
+
+@query(f"""SELECT *, CASE WHEN high > 0 THEN 'need_update' WHEN medium > 0 THEN 'suggest_update' WHEN low > 0 THEN 'minor_update' ELSE 'synced' END AS status FROM (SELECT repo, count(*) AS changed, count(*) FILTER (split_part(r, '/', 2) = 'high') AS high, count(*) FILTER (split_part(r, '/', 2) = 'medium') AS medium, count(*) FILTER (split_part(r, '/', 2) = 'low') AS low FROM {_CALLS} GROUP BY repo)""")
+def q_document_status(spark, sf_dir):
+    return J.document_status(spark.createDataFrame(CHANGES, "repo string, path string"))
 
 
 IDL = [("ipc/ICamera.aidl", "interface ICamera {\n  void open(int id);\n  int frames();\n}"), ("ipc/log.proto", "service Logger {\n  rpc Write(Line) returns (Ok);\n  rpc Flush(Ok) returns (Ok);\n}"), ("cam/main.c", "ICamera c; open(c);"), ("log/main.cc", "Logger l; ICamera c;"), ("lib/util.c", "Logger l;")]

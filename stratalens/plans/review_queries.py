@@ -74,14 +74,6 @@ def q_table_rows(spark, sf_dir):
     return R.table_rows(spark.createDataFrame(NOTES, "path string, content string"))
 
 
-_PATHS = sql_values([(p.split("/")[0], p) for p, _ in FILES], ["project", "path"])
-
-
-@query(f"SELECT project, bool_or(regexp_matches(lower(path), 'service|daemon|server|worker')) AS named, sum(CASE WHEN regexp_matches(path, '(^|/)main\\.') THEN 1 ELSE 0 END) AS mains, bool_or(regexp_matches(lower(path), 'service|daemon|server|worker')) OR sum(CASE WHEN regexp_matches(path, '(^|/)main\\.') THEN 1 ELSE 0 END) > 3 AS multi FROM {_PATHS} GROUP BY project")
-def q_processes(spark, sf_dir):
-    return R.processes(spark.createDataFrame([(p.split("/")[0], p) for p, _ in FILES], "project string, path string"))
-
-
 SIGNATURES = [(1, "int a, char *path"), (2, "self, x=3, y: int = 4"), (3, "")]
 
 

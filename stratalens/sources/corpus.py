@@ -41,3 +41,29 @@ MANIFESTS = [
     ("s/Android.mk", "LOCAL_PATH := $(call my-dir)\nLOCAL_MODULE := codec\nLOCAL_SRC_FILES := a.c b.c\n"),
     ("t/prj.conf", "CONFIG_GPIO=y\nCONFIG_MAIN_STACK_SIZE=2048\n"),
 ]
+
+#: Small projects of several kinds (project, path, content), paths relative to the project.
+PROJECTS = [
+    ("py", "src/main.py", "def main():\n    print('hello')\n"),
+    ("py", "requirements.txt", "requests>=2.28.0\npytest>=7.0.0\n"),
+    ("py", "pyproject.toml", '[project]\nname = "sample"\nversion = "0.1.0"\n'),
+    ("droid", "app/src/main/AndroidManifest.xml", '<manifest package="com.example.app"/>'),
+    ("droid", "build.gradle", "plugins { id 'com.android.application' }\n"),
+    ("droid", "app/src/main/java/com/example/MainActivity.kt", "class MainActivity\n"),
+    ("native", "CMakeLists.txt", "project(TestProject VERSION 1.0.0 LANGUAGES CXX)\n"),
+    ("native", "src/main.cpp", "int main() { return 0; }\n"),
+    ("web", "package.json", '{"name": "app", "dependencies": {"react": "^18.2.0"}}'),
+    ("web", "tsconfig.json", "{}"),
+    ("web", "src/main.tsx", "export const App = () => null\n"),
+    ("desk", "package.json", '{"name": "desk", "devDependencies": {"electron": "28.0.0"}}'),
+    ("desk", "app.js", "require('electron')\n"),
+    ("car", "vehicle/main.cpp", "int main() {}\n"),
+    ("car", "hud/main.c", "int main() {}\n"),
+    ("car", "services/log/main.py", "pass\n"),
+    ("car", "ipc/IStore.aidl", "interface IStore { void put(int k); }\n"),
+    ("car", "ipc/someip/log.proto", "service Log { rpc Put(A) returns (B); }\n"),
+    ("board", "board.dts", "/ { };\n"),
+    ("board", "board.dtsi", "/ { };\n"),
+    ("board", "firmware.ioc", "x=1\n"),
+    ("none", "notes.txt", "nothing\n"),
+]

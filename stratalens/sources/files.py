@@ -63,12 +63,6 @@ def count_extensions(files: DataFrame, extensions: list[str]) -> DataFrame:
     return wanted.join(counts, "extension", "left").select("extension", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def entry_files(files: DataFrame, patterns: list[str], k: int = 10) -> DataFrame:
-    """Entry points in the order of the patterns that they match, each once: path, rank."""
-    rank = F.coalesce(*[F.when(base_name().rlike(glob_pattern(p)), F.lit(i)) for i, p in enumerate(patterns)])
-    return files.select("path", rank.alias("rank")).filter("rank is not null").orderBy("rank", "path").limit(k)
-
-
 def commits(log: DataFrame) -> DataFrame:
     """Log lines 'hash|short|author|date|subject' (id, line): the subject may hold bars."""
     p = F.split("line", r"\|", 5)
