@@ -82,6 +82,42 @@ def test_long_items_at_the_largest_distance():
             assert least is not None and row == [(i, least, allowed[i])], (size, i, least, row)
 
 
+def test_short_items_are_found_at_every_allowed_distance():
+    rng = np.random.default_rng(3)
+    for size in range(1, 64):
+        for edits in range(size // 10 + 1):
+            for _ in range(4):
+                item = "".join(chr(97 + c) for c in rng.integers(0, 26, size))
+                if size > 12:
+                    item = item[: size // 2] + " " + item[size // 2 + 1 :]
+                doc = "qq zz " + _edited(rng, item, edits) + " qq zz"
+                least = _plain(item.encode(), D.normalise(pa.array([doc]))[0].tobytes())
+                found = D.find(pa.array([doc]), D.build([(1, item)]))[0]
+                assert found == ([(1, least, size // 10)] if least <= size // 10 else []), (size, edits, item, doc)
+
+
+def test_recall_by_length_at_the_largest_distance(spark, sf):
+    rng = np.random.default_rng(12)
+    prose = " ".join(r.text for r in spark.read.parquet(f"{sf}/documents.parquet").filter("lang = 'en'").limit(60).collect() if r.text)
+    plain = D.normalise(pa.array([prose], pa.large_string()))[0].tobytes().decode()
+    for size in (64, 70, 80, 120, 250, 700):
+        items = [(i, plain[k : k + size].strip()) for i, k in enumerate(rng.integers(0, len(plain) - size, 60))]
+        index = D.build(items)
+        allowed = {i: (b, d) for i, b, d in index["items"]}
+        docs = [plain[:200] + " " + _edited(rng, b.decode(), d) + " " + plain[-300:] for _, (b, d) in sorted(allowed.items())]
+        found = D.find(pa.array(docs, pa.large_string()), index)
+        hits = sum(any(m[0] == i for m in row) for i, row in enumerate(found))
+        assert hits >= 54, (size, hits)
+
+
+def test_scripts_without_spaces():
+    rng = np.random.default_rng(4)
+    item = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 60))
+    copy = item[:20] + "一二" + item[22:45] + item[46:]
+    other = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 200))
+    assert [m[0] for m in D.find(pa.array([other[:50] + copy + other[50:], other]), D.build([(5, item)]))[0]] == [5]
+
+
 def test_an_item_without_its_beginning_at_the_start_of_a_batch():
     item = "a passage of some length whose first letters are missing from the copy in the document"
     assert D.find(pa.array([item[4:]]), D.build([(1, item)])) == [[(1, 4, 8)]]
@@ -100,7 +136,7 @@ def test_documents(spark, sf):
 
 def test_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, 1), (2, "", 2), (None, "One two three four five six!", 3), (3, "x one TWO three, four five six y", 4), (3, "x one TWO three, four five six y", 4)], "doc_id long, text string, contamination int")
-    bench = spark.createDataFrame([(7, "one two three four five six"), (7, None), (None, "a long enough item text"), (8, ""), (9, "tiny")], "item_id long, text string")
+    bench = spark.createDataFrame([(7, "one two three four five six"), (7, None), (None, "a long enough item text"), (8, "."), (9, "tiny")], "item_id long, text string")
     found = D.contamination(docs.drop("contamination"), bench)
     rows = sorted((r.doc_id or 0, [m.item_id for m in r.contamination]) for r in found.collect())
     assert rows == [(0, [7]), (1, []), (2, []), (3, [7]), (3, [7])]
