@@ -4,7 +4,8 @@ Every window of LENGTH bytes contains a minimizer: the least hash among its GRAM
 depends on the window alone. So equal windows, wherever they are, share their minimizer and its place in them. This splits the
 suffixes of the corpus into groups that never need comparing with one another, and windows whose minimizer occurs once are
 unique and leave at once. What remains (a minimizer with the windows that chose it: a context) is first collapsed where equal,
-keeping the earliest place, so that any number of copies costs one; the distinct contexts are then dealt out by minimizer, and
+keeping the earliest place, so that any number of copies costs one (contexts are named by their 128-bit BLAKE2 digests, so equal names
+mean equal bytes); the distinct contexts are then dealt out by minimizer, and
 each task sorts the suffixes of its contexts by the difference-cover algorithm: triples at positions not divisible by 3 are
 sorted and named, the sequence of names is sorted by recursion, the remaining suffixes are merged in by the ranks found, and
 neighbours in the suffix array are compared for equal prefixes of LENGTH bytes. The earliest of equal ones stays.
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.storage import bounded_batches, collect_garbage, discard, table, written
@@ -30,7 +31,7 @@ REACH = LENGTH - GRAM + 1
 #: Bytes of contexts that a task sorts at once (a minimizer's contexts are never parted).
 SORT_BYTES = 1 << 20
 #: Contexts that a task remembers to have sent.
-SENT = 1_000_000
+SENT = 500_000
 _NULL_ID = (1 << 63) - 1
 
 
@@ -68,13 +69,13 @@ def _minimizers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(grams[places].view(np.int64)), part.column("doc").take(pa.array(row)), part.column("tie").take(pa.array(row)), pa.array((places - at[row]).astype(np.int64))], ["mini", "doc", "tie", "place"])
 
 
-CONTEXTS = "mini long, doc long, tie int, start long, size long, key long, context binary"
+CONTEXTS = "mini long, doc long, tie int, start long, size long, key binary, context binary"
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each text with repeated minimizers: its contexts; a later one that equals an earlier of the same text comes
     without key: it is a repeat already. A task sends the bytes of equal contexts once (or anew when it has seen very many)."""
-    sent: set[int] = set()
+    sent: set[bytes] = set()
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             out: list[list] = [[] for _ in range(7)]
@@ -99,22 +100,21 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 starts, ends = starts[use], ends[use]
                 if not starts.size:
                     continue
-                keys = Spans(raw).hash(starts, ends)
-                first = np.zeros(starts.size, bool)
-                first[np.unique(keys, return_index=True)[1]] = True
-                blob = raw.tobytes()
+                blob, bounds = raw.tobytes(), list(zip(starts.tolist(), ends.tolist(), strict=True))
+                names = [hashlib.blake2b(blob[s:e], digest_size=16).digest() for s, e in bounds]
+                here: set[bytes] = set()
+                first = [not (n in here or here.add(n)) for n in names]
                 out[0] += grams[chosen[starts]].view(np.int64).tolist()
                 out[1] += [part.column("doc")[i].as_py()] * starts.size
                 out[2] += [part.column("tie")[i].as_py()] * starts.size
                 out[3] += starts.tolist()
                 out[4] += (ends - starts).tolist()
-                names = keys.view(np.int64).tolist()
-                out[5] += [k if f else None for k, f in zip(names, first, strict=True)]
-                out[6] += [blob[s:e] if f and k not in sent else None for s, e, f, k in zip(starts, ends, first, names, strict=True)]
+                out[5] += [n if f else None for n, f in zip(names, first, strict=True)]
+                out[6] += [blob[s:e] if f and n not in sent else None for (s, e), f, n in zip(bounds, first, names, strict=True)]
                 sent.update(names)
                 if len(sent) > SENT:
                     sent = set()
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["mini", "doc", "tie", "start", "size", "key", "context"])
 
 
@@ -315,11 +315,14 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     repeated = not docs.select(doc).groupBy("doc").count().filter("count > 1").isEmpty()
     base = docs.select(doc, (F.hash("text") if repeated else F.lit(0)).alias("tie"), F.coalesce("text", F.lit("")).alias("text"))
     minis = base.mapInArrow(_minimizers, "mini long, doc long, tie int, place long")
-    twice = minis.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("mini"))).filter("n > 1")
+    # Counts are added up before they are dealt out, and a join with a hot minimizer can be split: no task holds all its places.
+    minis = written(minis, "minimizers")
+    often = minis.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("mini")
+    twice = minis.join(often.hint("merge"), "mini", "left_semi")
     places = written(twice.groupBy("doc", "tie").agg(F.collect_set("place").alias("places")), "places")
     collect_garbage(spark)
     contexts = written(base.join(places.hint("merge"), ["doc", "tie"]).select("doc", "tie", "text", "places").mapInArrow(_contexts, CONTEXTS), "contexts")
-    discard(places)
+    discard(places, minis)
     collect_garbage(spark)
     place = F.struct("doc", "tie", "start")
     # A context is named by its own hash and that of its minimizer.
