@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import bounded_batches, discard, table, written
+from stratalens.llm.storage import bounded_batches, collect_garbage, discard, table, written
 from stratalens.llm.textbytes import slices
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
@@ -31,7 +31,7 @@ MARK = "▁"
 #: Distinct pre-tokens that a task counts before it passes them on. Results don't depend on it.
 KEPT = 200_000
 #: Pre-tokens, of at most so many bytes, whose terminals are sent to all executors: 32 MB at most.
-HOT, HOT_BYTES = 1 << 15, 1 << 10
+HOT, HOT_BYTES = 1 << 17, 1 << 8
 _SPACES = str.maketrans(dict.fromkeys("\x09\x0a\x0b\x0c\x0d", " "))
 
 
@@ -152,6 +152,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, hot: int = HOT)
     model = spark.sparkContext.broadcast(load(vocabulary))  # a vocabulary: tens of thousands of pieces
     words = docs.mapInArrow(_distinct, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     terminals = written(words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_terminals(model), "word string, n long, tokens long"), "terminals")
+    collect_garbage(spark)
     often = terminals.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot).select("word", "tokens").collect()
     known = spark.sparkContext.broadcast({r.word: r.tokens for r in often})
     each = written(docs.mapInArrow(_documents(known), DOCUMENTS).withColumn("row", F.monotonically_increasing_id()), "token-documents")
