@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import derived, discard, written
+from stratalens.llm.storage import collect_garbage, derived, discard, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -29,6 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         small = large.join(low.hint("merge"), "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct()
         last, now = now, written(small, "edges")
         discard(last)
+        collect_garbage(edges.sparkSession)
         before, state = state, _state(now)
         if before == state:
             found = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

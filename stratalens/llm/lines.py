@@ -115,7 +115,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "line_d
     base = docs.withColumn("__doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID))).withColumn("__tie", F.hash("text"))
     lines = written(base.select(*_AT, "text").mapInArrow(_lines, "__doc long, __tie int, seq int, id long, words int"), "lines")
     shared = lines.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id")
-    repeated = written(lines.join(shared, "id").select(*_AT, "seq", "id", "words").distinct(), "repeated")
+    repeated = written(lines.join(shared.hint("merge"), "id").select(*_AT, "seq", "id", "words").distinct(), "repeated")
     discard(lines)
     runs = repeated.groupBy(*_AT).agg(F.collect_list(F.struct("seq", "words")).alias("each")).mapInArrow(_runs(min_words), "__doc long, __tie int, seq int, size int")
     runs = written(runs.withColumn("level", F.floor(F.log2(F.col("size").cast("double")) + 1e-9).cast("int")), "runs")
@@ -138,6 +138,7 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "line_d
             names = written(pairs.join(ranked, ["name", "next"]).select(*_AT, "seq", F.col("rank").alias("name")), "names")
             discard(pairs, ranked)
             used.append(names)
+        collect_garbage(spark)
     if not removed:
         return base.withColumn(into, F.struct(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))).drop(*_AT)
     every = removed[0]

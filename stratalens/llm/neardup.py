@@ -189,6 +189,7 @@ def prefix_pairs(texts: DataFrame, width: int = 5, threshold: int = THRESHOLD) -
     on = on & _size_fits(F.col("a.n"), F.col("b.n"), threshold) & (room * (100 + threshold) >= threshold * (F.col("a.n") + F.col("b.n")))
     pairs = written(small.join(large, on).select(F.col("a.doc_id").alias("u"), F.col("b.doc_id").alias("v")).distinct(), "pairs")
     discard(sets, prefix)
+    collect_garbage(texts.sparkSession)
     return pairs
 
 
@@ -228,6 +229,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     texts = keyed(docs).select(F.col("key").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
     texts = written(texts.dropDuplicates(["doc_id"]), "texts")
     discard(every_node, wanted)
+    collect_garbage(spark)
     sketches = nodes.select("doc_id", "odd", "n_shingles")
     links, found = None, None
 

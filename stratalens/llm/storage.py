@@ -75,7 +75,8 @@ def discard(*tables: DataFrame | None) -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps: once more after its listeners have let go of them."""
+    """Lets Spark delete the shuffle files of finished steps, once more after its listeners have let go of them, and gives memory of the
+    driver back that many small stages have taken."""
     for pause in (0.2, 0.0):
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
