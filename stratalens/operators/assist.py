@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.blocking import containing, sums_before
+
 
 def team_search(entries: DataFrame, query: str, k: int = 20) -> DataFrame:
     """10 for the query in the question, 5 in the answer, 8 for an equal tag (tags as they are): id, score."""
@@ -28,7 +30,7 @@ def find_name(names: DataFrame, asked: DataFrame) -> DataFrame:
     """Names (name) for each asked one (ask): equal ones, and only without those the ones that hold it: ask, name."""
     exact = asked.join(names.select("name").distinct(), F.col("ask") == F.col("name")).select("ask", "name")
     rest = asked.join(exact.select("ask"), "ask", "left_anti")
-    loose = names.select("name").distinct().join(F.broadcast(rest), F.contains(F.lower("name"), F.lower("ask"))).select("ask", "name")
+    loose = containing(names.select("name", F.lower("name").alias("low")).distinct(), rest.select("ask", F.lower("ask").alias("part")), "low", "part").select("ask", "name")
     return exact.unionByName(loose)
 
 
@@ -52,8 +54,7 @@ def request_warnings(requests: DataFrame) -> DataFrame:
 def evict(entries: DataFrame, size: str, limit: int) -> DataFrame:
     """Entries (id, priority, last_access, size) that leave a cache of `limit` bytes: lowest priority, then oldest, first."""
     by = entries.groupBy("priority", "last_access").agg(F.sum(size).alias("bytes"))
-    w = Window.orderBy(F.desc("priority"), F.desc("last_access")).rowsBetween(Window.unboundedPreceding, 0)
-    newer = by.withColumn("newer", F.sum("bytes").over(w) - F.col("bytes"))
+    newer = sums_before(by, "last_access", "bytes", ["priority"], "newer")
     within = Window.partitionBy("priority", "last_access").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
     return entries.join(newer.select("priority", "last_access", "newer"), ["priority", "last_access"]).withColumn("kept", F.col("newer") + F.sum(size).over(within)).filter(F.col("kept") > limit).select("id", size)
 

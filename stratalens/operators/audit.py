@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.blocking import sums_before
+
 
 def as_of(log: DataFrame) -> DataFrame:
     """The log's last moment, in one row: 'now' for windows and retention."""
@@ -42,10 +44,10 @@ def retained(log: DataFrame, days: int) -> DataFrame:
 
 
 def collectable(items: DataFrame, key: str, size: str, age: str, limit: int) -> DataFrame:
-    """What a cache collector deletes: oldest first until the rest fits into `limit`. Sums run within age buckets first, so that no
+    """What a cache collector deletes: oldest first until the rest fits into `limit`. Sums run within ranges of age, so that no
     task orders the whole cache."""
     by = items.groupBy(age).agg(F.sum(size).alias("bytes"))
-    newer = by.withColumn("newer", F.sum("bytes").over(Window.orderBy(F.desc(age)).rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes"))
+    newer = sums_before(by, age, "bytes", name="newer")
     within = Window.partitionBy(age).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
     return items.join(newer.select(age, "newer"), age).withColumn("kept", F.col("newer") + F.sum(size).over(within)).filter(F.col("kept") > limit).select(key, size)
 

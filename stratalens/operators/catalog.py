@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratalens.operators.blocking import containing
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last version of each key (insert-or-replace as a view over appended rows)."""
@@ -42,12 +44,11 @@ def staleness(refs: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def invalidated(entries: DataFrame, changed: DataFrame, ref: str, file: str) -> DataFrame:
-    """Entries with a reference that holds a changed file's name or is held by one; nulls match nothing.
-
-    `changed` is one batch of changes; it is compared with every entry as a broadcast, so the caller keeps batches bounded.
-    """
-    on = F.contains(F.col(ref), F.col(file)) | F.contains(F.col(file), F.col(ref))
-    return entries.join(F.broadcast(changed.select(file).distinct()), on, "left_semi")
+    """Entries with a reference that holds a changed file's name or is held by one; nulls and empty names match nothing. References
+    are compared with the names that share a stretch with them."""
+    refs, names = entries.select(ref).distinct(), changed.select(file).distinct()
+    hit = containing(refs, names, ref, file).select(ref).unionByName(containing(names, refs, file, ref).select(ref))
+    return entries.join(hit.distinct(), ref, "left_semi")
 
 
 def merge_entries(target: DataFrame, source: DataFrame, key: str, stamp: str, strategy: str = "keep_newer") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratalens.operators.blocking import containing
 from stratalens.sources.files import any_of, base_name
 
 def interfaces(files: DataFrame) -> DataFrame:
@@ -57,8 +58,8 @@ def document_status(changes: DataFrame) -> DataFrame:
 
 def cross_dependencies(repos: DataFrame, deps: DataFrame) -> DataFrame:
     """Edges between repositories (repo): a dependency (repo, name) whose name holds another repository's name, or is local by its
-    version (file:, link:, workspace:). Repositories are a dimension table and are sent to all executors."""
-    others = F.broadcast(repos.select(F.col("repo").alias("dst")))
-    linked = deps.join(others, F.contains("name", "dst") & (F.col("repo") != F.col("dst"))).select(F.col("repo").alias("src"), "dst", F.lit("name").alias("how"))
+    version (file:, link:, workspace:)."""
+    others = repos.select(F.col("repo").alias("dst"))
+    linked = containing(deps, others, "name", "dst").filter(F.col("repo") != F.col("dst")).select(F.col("repo").alias("src"), "dst", F.lit("name").alias("how"))
     local = deps.filter(F.col("version").rlike("^(file|link|workspace):")).join(others, F.col("name") == F.col("dst")).select(F.col("repo").alias("src"), "dst", F.lit("local").alias("how"))
     return linked.unionByName(local).distinct()

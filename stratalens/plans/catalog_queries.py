@@ -106,7 +106,7 @@ _ROLE_OF = "CASE {0} % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'member' WHEN 2 THEN 'v
 
 @query(f"""WITH rp AS (SELECT * FROM {_ROLES}), res AS (SELECT p_partkey AS resource_id, p_partkey % 1000 AS owner, p_size % 25 AS team, CASE WHEN p_partkey % 10 = 0 THEN 'public' ELSE 'team' END AS visibility FROM part),
   req AS (SELECT l_suppkey AS user_id, l_partkey AS resource_id, CASE l_linenumber % 3 WHEN 0 THEN 'read' WHEN 1 THEN 'write' ELSE 'delete' END AS action FROM lineitem),
-  mem AS (SELECT s_suppkey AS user_id, s_nationkey AS team, {_ROLE_OF('s_suppkey')} AS role FROM supplier), gr AS (SELECT DISTINCT l_suppkey AS user_id, l_partkey AS resource_id, {_ROLE_OF('l_orderkey')} AS role FROM lineitem WHERE l_orderkey % 13 = 0)
+  mem AS (SELECT s_suppkey AS user_id, s_nationkey AS team, {_ROLE_OF('s_suppkey')} AS role FROM supplier), gr AS (SELECT DISTINCT l_suppkey AS user_id, l_partkey AS resource_id, {_ROLE_OF('l_orderkey')} AS role FROM lineitem)
 SELECT user_id, resource_id, action, (owner = user_id) OR EXISTS (SELECT 1 FROM gr JOIN rp USING (role) WHERE gr.user_id = req.user_id AND gr.resource_id = req.resource_id AND rp.action = req.action)
   OR (EXISTS (SELECT 1 FROM mem WHERE mem.user_id = req.user_id AND mem.team = res.team) AND (action = 'read' OR EXISTS (SELECT 1 FROM mem JOIN rp USING (role) WHERE mem.user_id = req.user_id AND mem.team = res.team AND rp.action = req.action)))
   OR (visibility = 'public' AND action = 'read') AS allowed FROM req JOIN res USING (resource_id)""")
@@ -118,7 +118,7 @@ def q_rbac(spark, sf_dir):
     action = F.when(F.col("l_linenumber") % 3 == 0, "read").when(F.col("l_linenumber") % 3 == 1, "write").otherwise("delete")
     requests = line.select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("resource_id"), action.alias("action"))
     members = supplier.select(F.col("s_suppkey").alias("user_id"), F.col("s_nationkey").alias("team"), role("s_suppkey").alias("role"))
-    grants = line.filter("l_orderkey % 13 = 0").select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("resource_id"), role("l_orderkey").alias("role")).distinct()
+    grants = line.select(F.col("l_suppkey").alias("user_id"), F.col("l_partkey").alias("resource_id"), role("l_orderkey").alias("role")).distinct()
     return C.decisions(requests, resources, members, grants, permissions)
 
 

@@ -89,10 +89,10 @@ def q_impact(spark, sf_dir):
 
 
 @query("""SELECT DISTINCT c.ref AS qa_id FROM (SELECT DISTINCT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) AS ref FROM events WHERE event_type = 'view') c JOIN (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') u USING (user_id)
-UNION SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) FROM events WHERE event_type = 'purchase' AND user_id % 50 = 0""")
+UNION SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) FROM events WHERE event_type = 'purchase' AND value > 90""")
 def q_affected(spark, sf_dir):
     """References touched through either of two edges (file of a change, symbol of a change), each once."""
     events = table(spark, sf_dir, "events").withColumn("qa_id", F.get_json_object("props", "$.k").cast("int"))
     users = events.filter("event_type = 'error'").select("user_id").distinct()
     one = events.filter("event_type = 'view'").join(users, "user_id", "left_semi").select("qa_id")
-    return one.union(events.filter("event_type = 'purchase' and user_id % 50 = 0").select("qa_id")).distinct()
+    return one.union(events.filter("event_type = 'purchase' and value > 90").select("qa_id")).distinct()

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from stratalens.operators import assist as A
 from stratalens.operators import project as J
-from stratalens.operators import scan, search
+from stratalens.operators import code as K
+from stratalens.operators import facts, scan, search
+from stratalens.plans.code_queries import FUNCTIONS, LINES
 from stratalens.registry import query, sql_values
 from stratalens.sources import files as S
 from stratalens.sources.corpus import FILES, MANIFESTS
@@ -182,10 +184,12 @@ def q_similar_queries(spark, sf_dir):
     return A.similar_queries(rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("query"), F.col("turn").alias("ts")), asked)
 
 
-@query(f"SELECT 'file' AS kind, path AS name, path, 1.0 AS score FROM {SRC} WHERE contains(lower(path), 'main') ORDER BY name LIMIT 50")
+@query(f"""SELECT 'file' AS kind, path AS name, path, 1.0 AS score FROM {SRC} WHERE contains(lower(path), 'main') UNION ALL SELECT 'function', name, path, 0.9 FROM {FUNCTIONS} WHERE contains(lower(name), 'main')
+UNION ALL SELECT 'class', regexp_extract(content, 'class\\s+(\\w+)', 1), path, 0.9 FROM {LINES} WHERE regexp_matches(content, '^\\s*(public\\s+)?class\\s+\\w*[Mm]ain')""")
 def q_path_search(spark, sf_dir):
     files = _all(spark)
-    return search.path_search(files, files.limit(0).select(F.col("path").alias("name"), "path"), "main")
+    names = K.functions(files).select(F.lit("function").alias("kind"), "name", "path").unionByName(facts.declarations(files).select("kind", "name", "path"))
+    return search.path_search(files, names, "main")
 
 
 DIFFS = [(1, "+++ b/a.py\n+# TODO add\n-# TODO gone\n+x = 1\n+ FIXME now")]
