@@ -6,12 +6,15 @@ extend or join batches until the watermark has passed them.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stratalens.operators.catalog import latest
+
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's file as a stream; the schema comes from the file at plan time."""
@@ -19,12 +22,29 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def run_available(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a small streaming aggregate over what is there, and return its result table."""
-    name = f"s_{uuid.uuid4().hex}"
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below that of spark.checkpoint.dir; a local one only where the executors run in the driver's process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="stratalens-streams-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def run_available(df: DataFrame) -> DataFrame:
+    """Run a streaming aggregate over what is there, and return its result table. Each micro-batch's whole result goes to files of its
+    own, so nothing is kept on the driver, and a batch that is run again writes the same ones."""
+    spark, out = df.sparkSession, _folder(df.sparkSession, "stream")
+    last = []
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last[:] = [batch_id]
+
+    df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/batch={last[0]}") if last else spark.createDataFrame([], df.schema)
 
 
 def change_batches(events: DataFrame, gap: str, key: str = "user_id", ts: str = "ts", watermark: str | None = None) -> DataFrame:
@@ -54,21 +74,37 @@ def maintain(df: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
     df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps a Parquet table of the latest row of each key, one folder for each batch; reading the
-    highest batch gives the table, and a batch that is run again writes the same folder."""
+def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps a Parquet table of the latest row of each key by `order` (rows equal in it: the largest), also
+    where a batch has a key several times or brings an older row than the table has. Rows are dealt into buckets of their keys, and a batch
+    writes new versions of the buckets that it touches alone; one that is run again writes the same folders. `current` reads the table."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        now = batch.dropDuplicates(keys)
-        if batch_id > 0:
-            before = spark.read.parquet(f"{path}/batch={batch_id - 1}")
-            now = before.join(now.select(*keys), keys, "left_anti").unionByName(now)
-        now.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        columns = batch.columns
+        newest = lambda rows: latest(rows, ["bucket", *keys], [F.desc(c) for c in (*order, *[c for c in columns if c not in keys and c not in order])])
+        now = newest(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))))
+        before = current(spark, path, batch_id)
+        if before is not None:
+            now = newest(before.join(F.broadcast(now.select("bucket").distinct()), "bucket", "left_semi").select("bucket", *columns).unionByName(now.select("bucket", *columns)))
+        out = now.select(*columns, "bucket").withColumn("batch", F.lit(batch_id))
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     return apply
 
 
+def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The table kept by upsert_into (with its bucket), of the batches under `before` if that is given; None where there is none yet.
+    Versions are chosen by the names of folders, so older ones aren't read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = spark.read.parquet(path)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    versions = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(versions), ["bucket", "batch"], "left_semi").drop("batch")
+
+
 def name_status(diff: DataFrame) -> DataFrame:
     """Lines of a name-status listing (id, line): id, change, path, old_path."""
     p = F.split("line", "\t")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as T
-from stratalens.operators import catalog, code, graph, reports, scan, search
+from stratalens.operators import blocking, catalog, code, graph, reports, scan, search
 from stratalens.sources import files, manifests
 from stratalens.sources.corpus import FILES, MANIFESTS
 from stratalens.plans import review_queries
@@ -86,11 +86,29 @@ def test_templates(spark):
 
 def test_incremental_table(spark, tmp_path):
     source, target = f"{tmp_path}/in", f"{tmp_path}/table"
-    for part in ([("a", 1), ("b", 1)], [("b", 2), ("c", 2)]):
-        spark.createDataFrame(part, "k string, v int").write.mode("append").parquet(source)
-        stream = spark.readStream.schema("k string, v int").parquet(source)
-        changes.maintain(stream, changes.upsert_into(target, ["k"]), f"{tmp_path}/check")
-    assert {r.k: r.v for r in spark.read.parquet(f"{target}/batch=1").collect()} == {"a": 1, "b": 2, "c": 2}
+    for part in ([("a", 1, "x"), ("b", 1, "x"), ("b", 3, "y"), ("b", 2, "z")], [("b", 2, "old"), ("c", 2, "x"), ("c", 2, "z"), ("a", 5, None)]):
+        spark.createDataFrame(part, "k string, v int, w string").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("k string, v int, w string").parquet(source)
+        changes.maintain(stream, changes.upsert_into(target, ["k"], ["v"], buckets=3), f"{tmp_path}/check")
+    assert sorted((r.k, r.v, r.w) for r in changes.current(spark, target).collect()) == [("a", 5, None), ("b", 3, "y"), ("c", 2, "z")]
+    again = spark.createDataFrame([("b", 2, "old"), ("c", 2, "x"), ("c", 2, "z"), ("a", 5, None)], "k string, v int, w string")
+    changes.upsert_into(target, ["k"], ["v"], buckets=3)(again, 1)
+    assert changes.current(spark, target).count() == 3 and changes.current(spark, f"{tmp_path}/none") is None
+
+
+def test_blocking_joins_lose_nothing(spark):
+    long = [(i, t) for i, t in enumerate(["src/app/main.py", "a", "", "main.py", "x/main.pyc", "ab", None])]
+    short = [(i, t) for i, t in enumerate(["main.py", "a", "ab", "src/app/main.py", "zz", "", None])]
+    found = blocking.containing(spark.createDataFrame(long, "i int, t string"), spark.createDataFrame(short, "j int, p string"), "t", "p").select("i", "j").collect()
+    assert sorted(map(tuple, found)) == sorted((i, j) for i, t in long for j, p in short if t and p and p in t)
+    sets = [(i, sorted({f"w{(i * k) % 17}" for k in range(1, 2 + i % 9)})) for i in range(60)]
+    one = spark.createDataFrame(sets, "i int, a array<string>")
+    pairs = {(r.i, r.j) for r in blocking.alike(one, one.toDF("j", "b"), "a", "b", 0.5).collect()}
+    assert {(i, j) for i, x in sets for j, y in sets if len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))} <= pairs
+    rows = [(i, float(i * 7 % 101), i + 1) for i in range(100)]
+    got = {r.id: r.before for r in blocking.sums_before(spark.createDataFrame(rows, "id int, at double, n long"), "at", "n").collect()}
+    assert got == {i: sum(n for _, b, n in rows if b > a) for i, a, _ in rows}
+    assert blocking.sums_before(spark.createDataFrame([], "at double, n long"), "at", "n").count() == 0
 
 
 def test_sinks(spark, tmp_path):
