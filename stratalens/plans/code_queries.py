@@ -74,15 +74,17 @@ def q_syntax(spark, sf_dir):
     return K.syntax(_files(spark))
 
 
-@query()
+@query(rf"""WITH RECURSIVE l AS (SELECT path, line, trim(content) <> '' AND NOT regexp_matches(content, '^\s') AS open FROM {LINES}), n AS (SELECT path, max(line) AS n FROM l GROUP BY path),
+  c AS (SELECT path, 0 AS chunk, 1 AS low FROM n UNION ALL SELECT path, chunk + 1, low FROM (SELECT c.path, c.chunk, min(l.line) AS low FROM c JOIN l ON l.path = c.path AND l.open AND l.line - c.low >= 10 GROUP BY c.path, c.chunk))
+SELECT path, chunk, low, coalesce(lead(low) OVER (PARTITION BY path ORDER BY chunk) - 1, n) AS high FROM c JOIN n USING (path)""")
 def q_chunks(spark, sf_dir):
-    """A greedy scan; SQL can't express it without recursion over lines."""
     return K.chunks(_files(spark))
 
 
-@query()
+@query(rf"""WITH d AS (SELECT path, line, len(regexp_extract_all(content, '\{{')) - len(regexp_extract_all(content, '\}}')) AS d FROM {LINES}), s AS (SELECT path, line, sum(d) OVER (PARTITION BY path ORDER BY line) AS s FROM d),
+  r AS (SELECT path, s - least(0, min(s) OVER (PARTITION BY path ORDER BY line)) AS level FROM s) SELECT path, CAST(greatest(0, max(level)) AS INTEGER) AS deepest, greatest(0, max(level)) > 3 AS too_deep FROM r GROUP BY path""")
 def q_nesting(spark, sf_dir):
-    """A clamped running level; SQL can't express it without recursion over lines."""
+    """The level, which never falls below 0, is the running sum less its least value so far where that is below 0."""
     return scan.nesting(_files(spark), "path", "content")
 
 

@@ -112,7 +112,7 @@ def q_android_manifest(spark, sf_dir):
     return M.android_manifest(_files(spark))
 
 
-@query()
+@query(rf"""SELECT path, list_filter(l, lambda x, i: list_position(l, x) = i) AS compatible, model FROM (SELECT path, flatten([regexp_extract_all(x, '"([^"]+)"', 1) FOR x IN regexp_extract_all(content, 'compatible\s*=\s*([^;]+);', 1)]) AS l, regexp_extract(content, 'model\s*=\s*"([^"]+)"', 1) AS model FROM {SRC} WHERE regexp_matches(path, '\.dtsi?$'))""")
 def q_device_tree(spark, sf_dir):
     return M.device_tree(_files(spark))
 

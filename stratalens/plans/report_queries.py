@@ -58,9 +58,8 @@ def q_markdown(spark, sf_dir):
     return R.markdown(nation.join(region, nation.n_regionkey == region.r_regionkey), "Nations", "r_name", F.col("n_name"))
 
 
-@query()
+@query("SELECT r_name, '# ' || r_name || CASE WHEN count(*) > 3 THEN ' (large)' ELSE '' END || chr(10) || string_agg('- ' || n_name || chr(10), '' ORDER BY n_name) AS text FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def q_templates(spark, sf_dir):
-    """Templates with blocks have no SQL form."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     by = nation.join(region, nation.n_regionkey == region.r_regionkey).groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("nations"), (F.count(F.lit(1)) > 3).alias("large"))
     return R.rendered(by, "r_name", "# {{ r_name }}{% if large %} (large){% endif %}\n{% for n in nations %}- {{ n }}\n{% endfor %}")

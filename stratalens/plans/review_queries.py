@@ -30,7 +30,8 @@ def q_function_report(spark, sf_dir):
 DOCUMENTED = [("a.py", "# Adds.\ndef add(a, b):\n    return a\n\ndef sub(a):\n    return a\n"), ("b.go", "// Runs it.\nfunc run() {\n}\n")]
 
 
-@query()
+@query(rf"""WITH l AS (SELECT path, content, lag(content) OVER (PARTITION BY path ORDER BY line) AS above FROM (SELECT path, unnest(string_split(content, chr(10))) AS content, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM {sql_values(DOCUMENTED, ['path', 'content'])}))
+SELECT path, regexp_extract(content, '(?:def|func)\s+(\w+)', 1) AS name, trim(regexp_replace(above, '^\s*(#|//)', '')) AS comment FROM l WHERE regexp_matches(content, '^(def|func)\s') AND regexp_matches(above, '^\s*(#|//)')""")
 def q_comments_above(spark, sf_dir):
     return R.comments_above(spark.createDataFrame(DOCUMENTED, "path string, content string"))
 
@@ -82,11 +83,14 @@ def q_parameters(spark, sf_dir):
     return spark.createDataFrame(SIGNATURES, "id int, s string").select("id", R.parameters(F.col("s")).alias("names"))
 
 
-@query()
+SIGNED = [(1, "{}", "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()), (2, "{ }", "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()), (3, "{}", None)]
+# The key, filled up with zeros to a block, under the two masks of the construction.
+_INNER, _OUTER = ("'" + "".join(f"\\x{b ^ mask:02X}" for b in b"k".ljust(64, b"\0")) + "'::BLOB" for mask in (0x36, 0x5C))
+
+
+@query(f"SELECT id, coalesce(signature = 'sha256=' || sha256({_OUTER} || unhex(sha256({_INNER} || encode(payload)))), false) AS valid FROM {sql_values(SIGNED, ['id', 'payload', 'signature'])}")
 def q_verified(spark, sf_dir):
-    good = "sha256=" + hmac.new(b"k", b"{}", hashlib.sha256).hexdigest()
-    rows = [(1, "{}", good), (2, "{ }", good), (3, "{}", None)]
-    return R.verified(spark.createDataFrame(rows, "id int, payload string, signature string"), "k")
+    return R.verified(spark.createDataFrame(SIGNED, "id int, payload string, signature string"), "k")
 
 
 _KEY = f"substr(md5({_norm_sql('question')}), 1, 16)"

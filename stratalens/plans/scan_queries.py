@@ -57,9 +57,13 @@ def q_smells(spark, sf_dir):
     return scan.smells(table(spark, sf_dir, "documents")).filter("smell <> 'magic_number'")
 
 
-@query()
+_NUMBER = _q(r"(?s)(.?)\b(\d{2,})\b(\s*[;)\]])?")
+# Numbers of two digits or more without a quote before and a closing mark behind.
+_MAGIC = f"len(list_filter(list_zip(regexp_extract_all(content, {_NUMBER}, 1), regexp_extract_all(content, {_NUMBER}, 2), regexp_extract_all(content, {_NUMBER}, 3)), lambda x: coalesce(x[1], '') NOT IN (chr(34), chr(39)) AND coalesce(x[3], '') = '' AND length(x[2]) <= 16 AND TRY_CAST(x[2] AS BIGINT) > 10)) > 0"
+
+
+@query(f"SELECT doc_id, count(*) AS count FROM {LINES} WHERE {_MAGIC} GROUP BY doc_id")
 def q_magic_numbers(spark, sf_dir):
-    """The pattern looks around, which the oracle's dialect can't."""
     return scan.smells(table(spark, sf_dir, "documents")).filter("smell = 'magic_number'").groupBy("doc_id").count()
 
 
@@ -86,15 +90,20 @@ def q_readability(spark, sf_dir):
     return scan.quality(table(spark, sf_dir, "documents")).select("doc_id", F.round("readability", 6).alias("readability"))
 
 
-@query("SELECT doc_id, greatest(0, 100 - sum(p)) AS security FROM (SELECT doc_id, 0 AS p FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT doc_id, { {'critical': 30, 'error': 15, 'warning': 5}[s]} FROM {LINES} WHERE regexp_matches(content, {_q(p)}){'' if langs is None else ' AND lang IN (' + ', '.join(repr(x) for x in langs) + ')'}" for _, s, p, langs in P.SECURITY_RULES) + ") GROUP BY doc_id")
+_SECURITY = ("SELECT doc_id, greatest(0, 100 - sum(p)) AS security FROM (SELECT doc_id, 0 AS p FROM documents UNION ALL " + " UNION ALL ".join(f"SELECT doc_id, { {'critical': 30, 'error': 15, 'warning': 5}[s]} FROM {LINES} WHERE regexp_matches(content, {_q(p)}){'' if langs is None else ' AND lang IN (' + ', '.join(repr(x) for x in langs) + ')'}" for _, s, p, langs in P.SECURITY_RULES) + ") GROUP BY doc_id")
+
+
+@query(_SECURITY)
 def q_security_score(spark, sf_dir):
     return scan.quality(table(spark, sf_dir, "documents")).select("doc_id", F.col("security").cast("long").alias("security"))
 
 
-@query()
+@query(f"""WITH l AS (SELECT doc_id, count(*) AS n, count(*) FILTER (length(content) > 120) AS long, sum(length(content)) AS chars, count(*) FILTER (trim(content) = '') AS blank, count(*) FILTER ({_MAGIC}) AS magic, count(*) FILTER (regexp_matches(content, 'TODO|FIXME|XXX|HACK')) AS tasks FROM {LINES} GROUP BY doc_id),
+  s AS ({_SECURITY}), q AS (SELECT doc_id, CAST({_CX} AS DOUBLE) AS complexity, greatest(0, 100 - least(long * 0.5, 20) - greatest(chars / n - 80, 0) * 0.2 - CASE WHEN blank / n < 0.1 THEN 10 ELSE 0 END) AS readability, long + magic + tasks AS smells, tasks, CAST(security AS DOUBLE) AS security FROM documents JOIN l USING (doc_id) JOIN s USING (doc_id))
+SELECT doc_id, complexity, round(readability, 6) AS readability, round(maintainability, 6) AS maintainability, security, CAST(round(CAST(CAST(maintainability * 0.3::DOUBLE + readability * 0.25::DOUBLE + complexity * 0.25::DOUBLE + security * 0.2::DOUBLE AS VARCHAR) AS DECIMAL(30, 16)), 2) AS DOUBLE) AS overall FROM (SELECT *, greatest(0.0, (100 - least(smells * 2, 30)) * complexity / 100 - tasks) AS maintainability FROM q)""")
 def q_quality(spark, sf_dir):
-    """All axes and the total; magic numbers look around, so there is no oracle for the total."""
-    return scan.quality(table(spark, sf_dir, "documents"))
+    found = scan.quality(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "complexity", F.round("readability", 6).alias("readability"), F.round("maintainability", 6).alias("maintainability"), "security", "overall")
 
 
 @query(f"""SELECT doc_id, CASE WHEN r < .25 THEN 'low' WHEN r < .5 THEN 'medium' WHEN r < .75 THEN 'high' ELSE 'critical' END AS level, round(r * 100, 2) AS score, complexity, coverage, changes, commits, n_lines FROM (
