@@ -37,3 +37,24 @@ e AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 r AS (SELECT doc_id AS x, doc_id AS y FROM t UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, c AS component_id, doc_id = c AS kept FROM (SELECT x AS doc_id, min(y) AS c FROM r GROUP BY x) LEFT JOIN n USING (doc_id)
 """
+
+#: Sizes and targets of the mix: with sources in the order of 3 size / weight, the first k are at their limit where the rest's share of
+#: what is left, by weight, is no more than the next one's limit.
+MIX_TARGETS = rf"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), {_WORD})) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, sum(size) AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+o AS (SELECT *, 3.0 * s / w AS most, row_number() OVER (ORDER BY 3.0 * s / w, source NULLS LAST) AS k, (SELECT sum(s) FROM s) AS total, (SELECT sum(w) FROM s) AS weights FROM s),
+c AS (SELECT *, (total - coalesce(sum(3 * s) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / CAST(weights - coalesce(sum(w) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS share FROM o),
+f AS (SELECT min(k) AS k, arg_min(share, k) AS share FROM c WHERE share <= most)
+SELECT doc_id, size, CAST(c.s AS BIGINT) AS source_size, round(CASE WHEN c.k < coalesce(f.k, 1e18) THEN 3.0 * c.s ELSE w * f.share END, 4) AS target FROM d JOIN c ON c.source IS NOT DISTINCT FROM d.source, f
+"""
+
+_DIGITS = "regexp_replace({}, '[^0-9]', '', 'g')".format
+#: Counts of the fixed patterns; cards pass when their digits, every second one from the right doubled, add up to a multiple of ten.
+PII_COUNTS = rf"""
+SELECT doc_id, CAST(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+')) AS BIGINT) AS n_email,
+CAST(len(list_filter(regexp_extract_all(t, '[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+'), lambda m: len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST('0' || left(ltrim(p, '0'), 3) AS INTEGER) > 255)) = 0)) AS BIGINT) AS n_ip,
+CAST(len(list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'), lambda m: {_DIGITS('m')}), lambda x: length(x) BETWEEN 14 AND 19 AND list_sum(list_transform(range(0, length(x)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(x[length(x) - i] AS INTEGER) ELSE (2 * CAST(x[length(x) - i] AS INTEGER)) // 10 + (2 * CAST(x[length(x) - i] AS INTEGER)) % 10 END)) % 10 = 0)) AS BIGINT) AS n_card,
+CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: length({_DIGITS('m')}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+"""
