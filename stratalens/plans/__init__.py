@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scan_queries", "search_queries", "audit_queries", "catalog_queries", "graph_queries", "code_queries", "manifest_queries", "stream_queries", "report_queries", "project_queries", "review_queries", "detect_queries", "facts_queries", "records_queries")
+MODULES = ("scan_queries", "search_queries", "audit_queries", "catalog_queries", "graph_queries", "code_queries", "manifest_queries", "stream_queries", "report_queries", "project_queries", "review_queries", "detect_queries", "facts_queries", "records_queries", "collect_queries")
 
 
 def load() -> None:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as T
-from stratalens.operators import blocking, catalog, code, graph, reports, scan, search
+from stratalens.operators import blocking, catalog, code, collect, graph, reports, scan, search
 from stratalens.sources import files, manifests
 from stratalens.sources.corpus import FILES, MANIFESTS
 from stratalens.plans import review_queries
@@ -126,3 +126,27 @@ def test_long_lines_are_not_cut(spark):
     lines = spark.createDataFrame([("f", 1, "author " + author), ("f", 2, "\t" + code)], "file string, n int, line string")
     assert [tuple(r) for r in files.blame(lines).collect()] == [("f", 1, author, code)]
     assert changes.short_status(spark.createDataFrame([(1, " M " + path)], "id int, line string")).first().path == path
+
+
+def test_stores(spark, tmp_path):
+    collect.save_index({"l0": spark.range(3), "l1": spark.range(2)}, f"{tmp_path}/index")
+    assert {n: t.count() for n, t in collect.load_index(spark, f"{tmp_path}/index", ["l0", "l1", "l2"]).items()} == {"l0": 3, "l1": 2}
+    rows = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-02 10:00:00"), (3, "2024-01-02 11:00:00")], "id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+    collect.append_log(rows, f"{tmp_path}/log")
+    collect.append_log(rows.filter("id = 3"), f"{tmp_path}/log")
+    assert spark.read.json(f"{tmp_path}/log").count() == 4
+    assert collect.drop_days(spark, f"{tmp_path}/log", "2024-01-02") == 1 and spark.read.json(f"{tmp_path}/log").count() == 3
+
+
+def test_trees_are_scanned(spark, tmp_path):
+    for name, text in (("a/x.py", "x = 1\n"), ("a/b/y.MD", "é"), ("z", "")):
+        (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "tree" / name).write_text(text)
+    rows = files.scan_tree(spark, f"{tmp_path}/tree").collect()
+    assert sorted((r.path, r.ext, r.size, r.content) for r in rows) == [("a/b/y.MD", "md", 2, "é"), ("a/x.py", "py", 6, "x = 1\n"), ("z", "", 0, "")]
+
+
+def test_poetry_locks(spark):
+    text = '[[package]]\nname = "flask"\nversion = "2.3.2"\n\n[[package]]\nname = "numpy"\nversion = "1.26.0"\n'
+    rows = manifests.lock_blocks(spark.createDataFrame([("a/poetry.lock", text), ("b/Cargo.lock", text)], "path string, content string"), "poetry.lock").collect()
+    assert sorted((r.path, r.name, r.version) for r in rows) == [("a/poetry.lock", "flask", "2.3.2"), ("a/poetry.lock", "numpy", "1.26.0")]
