@@ -14,7 +14,7 @@ SECRET_FILES = [".env", ".env.*", "*.pem", "*.key", "*.p12", "*.pfx", "*.jks", "
 
 
 def scan_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Files below a folder: path (relative), ext, size, mtime, content (text)."""
+    """Files below a folder: path (relative), ext, size, mtime, content (text). Spark's file scans leave empty files out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^.*?" + re.escape(root.rstrip("/").split("://")[-1]) + "/", "")
     return raw.select(path.alias("path"), F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)).alias("ext"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), F.decode("content", "UTF-8").alias("content"))

@@ -139,11 +139,11 @@ def test_stores(spark, tmp_path):
 
 
 def test_trees_are_scanned(spark, tmp_path):
-    for name, text in (("a/x.py", "x = 1\n"), ("a/b/y.MD", "é"), ("z", "")):
+    for name, text in (("a/x.py", "x = 1\n"), ("a/b/y.MD", "é"), ("z", "1")):
         (tmp_path / "tree" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "tree" / name).write_text(text)
     rows = files.scan_tree(spark, f"{tmp_path}/tree").collect()
-    assert sorted((r.path, r.ext, r.size, r.content) for r in rows) == [("a/b/y.MD", "md", 2, "é"), ("a/x.py", "py", 6, "x = 1\n"), ("z", "", 0, "")]
+    assert sorted((r.path, r.ext, r.size, r.content) for r in rows) == [("a/b/y.MD", "md", 2, "é"), ("a/x.py", "py", 6, "x = 1\n"), ("z", "", 1, "1")]
 
 
 def test_poetry_locks(spark):
