@@ -31,6 +31,7 @@ SEQUENCE, BATCH, STEPS, RATE, DECAY = 48, 192, 70, 0.15, 1e-4
 #: Chance that a training sequence goes on to another language after a segment of 3 to 24 words.
 SWITCH = 0.35
 _ORDERS = (2, 3, 4)
+WORDS_AT_ONCE = 1 << 16
 SCHEMA = "doc_id long, lang_pred string, score double, n_words long, n_switches long, shares array<double>"
 
 
@@ -79,17 +80,30 @@ class Words:
     def hashes(self) -> np.ndarray:
         return Spans(self.raw).hash(self.start, self.end)
 
-    def scores(self, weights: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
-        """Emission score of each word for each language."""
-        if not self.start.size:
-            return np.zeros((0, weights.shape[1]))
-        summed = np.zeros((self.raw.size, weights.shape[1]), np.float32)
-        for ids in self.position_features():
-            summed += weights[ids]
-        summed[~self.letter] = 0
-        out = np.add.reduceat(summed, self.start, axis=0).astype(np.float64)
-        for ids in self.word_features(lexicon):
-            out += weights[ids]
+    def _part(self, first: int, last: int) -> "Words":
+        """The words from `first` to `last`, with as many bytes around them as features look at."""
+        low, high = max(0, int(self.start[first]) - 8), min(self.raw.size, int(self.end[last - 1]) + 8)
+        part = object.__new__(Words)
+        part.raw, part.letter = self.raw[low:high], self.letter[low:high]
+        part.start, part.end = self.start[first:last] - low, self.end[first:last] - low
+        return part
+
+    def scores(self, weights: np.ndarray, lexicon: np.ndarray, at_once: int = WORDS_AT_ONCE) -> np.ndarray:
+        """Emission score of each word for each language; a bounded number of words at a time, so that long texts take no more memory
+        than their words' scores."""
+        out = np.zeros((self.start.size, weights.shape[1]))
+        for first in range(0, self.start.size, at_once):
+            part = self._part(first, min(first + at_once, self.start.size))
+            summed = np.zeros((part.raw.size, weights.shape[1]), np.float32)
+            for ids in part.position_features():
+                summed += weights[ids]
+            summed[~part.letter] = 0
+            # Bytes around the part belong to words outside of it.
+            summed[part.end[-1] :] = 0
+            now = np.add.reduceat(summed, part.start, axis=0).astype(np.float64)
+            for ids in part.word_features(lexicon):
+                now += weights[ids]
+            out[first : first + at_once] = now
         return out
 
 

@@ -33,21 +33,34 @@ TABLE_BITS = 20
 ROUNDS, STEPS = 25, 700
 #: Rounds before the voters' forest is learned, correlation of its edges at least, and pseudo-rows of a voter's own rate.
 SETTLE, CORRELATED, SHRINK = 5, 0.1, 2.0
-SLICE = 1 << 19  # bytes of text at once: a text's features take some hundred times its size
+SLICE = 1 << 19  # bytes of texts at once, unless one is longer
+AT_ONCE = 1 << 19  # bytes whose features are taken at once: they take some hundred times as much memory
 
 
-def _raw_features(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, hash) arrays: words, their beginnings, and n-grams within words, of the lower-cased texts."""
+def _raw_features(column: pa.Array, at_once: int = AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row, hash) arrays: words, their beginnings, and n-grams within words, of the lower-cased texts. Features lie within words, so
+    the bytes are taken in stretches that end between words: a long text takes no more memory than a stretch does."""
     raw, at = text_bytes(pc.utf8_lower(column))
     letter = ((raw >= 97) & (raw <= 122)) | (raw >= 128)
+    row_start = np.zeros(raw.size + 1, bool)
+    row_start[at[:-1]] = True
+    low = 0
+    while low < raw.size:
+        high = min(low + at_once, raw.size)
+        while high < raw.size and letter[high] and letter[high - 1] and not row_start[high]:
+            high += 1
+        row = np.searchsorted(at, np.arange(low, high), "right").astype(np.int32) - 1
+        yield from _stretch(raw[low:high], letter[low:high], row)
+        low = high
+
+
+def _stretch(raw: np.ndarray, letter: np.ndarray, row_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     cuts = np.cumsum(~letter, dtype=np.int32)
-    row_of = np.repeat(np.arange(at.size - 1, dtype=np.int32), np.diff(at))
     spans = Spans(raw)
     first, last = letter.copy(), letter.copy()
     first[1:] &= ~letter[:-1]
     last[:-1] &= ~letter[1:]
-    edges = at[1:-1]
-    edges = edges[(edges > 0) & (edges < raw.size)]
+    edges = np.flatnonzero(row_of[1:] != row_of[:-1]) + 1
     first[edges], last[edges - 1] = letter[edges], letter[edges - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     yield row_of[start], spans.hash(start, end)
@@ -82,7 +95,7 @@ def _pairs(column: pa.Array, keep=None) -> tuple[np.ndarray, np.ndarray]:
         at, feature = keep(hashes) if keep else (slice(None), hashes)
         rows.append(row[at])
         feats.append(feature)
-    row, feat = np.concatenate(rows), np.concatenate(feats)
+    row, feat = np.concatenate([np.zeros(0, np.int32), *rows]), np.concatenate([np.zeros(0, np.uint64) if keep is None else np.zeros(0, np.int64), *feats])
     order = np.lexsort((feat, row))
     row, feat = row[order], feat[order]
     new = np.ones(row.size, bool)

@@ -77,3 +77,19 @@ def test_training_sample_has_the_words_it_promises_and_no_more_than_a_text_beyon
     langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=2_000)
     sizes = [t.count(" ") + 1 for t in seen["a"]]
     assert sum(sizes) >= 2_000 > sum(sizes[:-1]) and len(seen["b"]) == 10
+
+
+def test_long_texts_are_scored_in_parts_and_come_out_alike():
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 9))) for _ in range(n)) + "é ñandú; x1y" for n in (0, 1, 50, 300)]
+    model = langid.train(texts * 2, ["a", "b"] * len(texts))
+    words = langid.Words(pa.array(texts, pa.large_string()))
+    whole = words.scores(model["weights"], model["lexicon"])
+    for n in (1, 7, 100):
+        assert np.allclose(words.scores(model["weights"], model["lexicon"], n), whole, atol=1e-4)
+
+
+def test_a_very_long_text():
+    model = langid.train(["the cat sat on the mat " * 20, "der hund lief in den wald " * 20], ["en", "de"])
+    found = langid.label(pa.array(["der hund und die katze " * 900_000], pa.large_string()), model)
+    assert found["lang_pred"] == ["de"] and found["n_words"][0] == 4_500_000

@@ -55,3 +55,9 @@ def test_edge_cases(spark):
     rows = toxicity.toxicity(docs, model).collect()
     assert len(rows) == 5 and len({r.score for r in rows}) == 1 and all(r.predicted == 0 for r in rows)
     assert toxicity.toxicity(docs.limit(0), model).count() == 0
+
+
+def test_long_texts_are_taken_in_stretches():
+    texts = pa.array(["one vilewort two", "vile wörter " * 300, "", None, "x" * 500 + " end"], pa.large_string())
+    flat = lambda n: sorted((int(r), int(h)) for row, hashes in toxicity._raw_features(texts, n) for r, h in zip(row, hashes, strict=True))
+    assert flat(64) == flat(1 << 20) == flat(1_000)
