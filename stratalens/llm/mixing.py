@@ -134,7 +134,7 @@ def shards(quotas: np.ndarray, shard_slots: int, seed: int, low: int, high: int)
 
 def _slots(seed: int, shard_slots: int, shared):
     def expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        quotas, blocks = shared.value
+        quotas, blocks, last_words = shared.value
         for frame in frames:
             for group in frame["id"]:
                 for shard, source, first, slots in shards(quotas, shard_slots, seed, int(group) * SHARDS, (int(group) + 1) * SHARDS):
@@ -143,7 +143,9 @@ def _slots(seed: int, shard_slots: int, shared):
                     epoch, block = slot // n, np.empty(slot.size, np.int64)
                     for e in np.unique(epoch):
                         block[epoch == e] = permute(slot[epoch == e] % n, n, _keys(seed, source, int(e)))
-                    yield pd.DataFrame({"shard": shard, "source_no": source, "slot": slot, "block": block})
+                    cut = pd.array(np.where(slot == quotas[source] - 1, last_words[source], 0), "Int64")
+                    cut[slot != quotas[source] - 1] = pd.NA
+                    yield pd.DataFrame({"shard": shard, "source_no": source, "slot": slot, "block": block, "cut": cut})
 
     return expand
 
@@ -178,20 +180,21 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 8192, seed:
     before = sums.withColumn("within", within).join(wider, ["source_no", "wide"]).select("source_no", "bucket", (F.col("wide_before") + F.col("within")).alias("before"))
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = full.withColumn("end", F.sum("size").over(within)).join(before, ["source_no", "bucket"]).withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("size"))
-    quotas, blocks = np.array([p[0] for p in plans], np.int64), np.array([-(-x // block_words) for x in sizes], np.int64)
+    quotas, last_words = (np.array([p[k] for p in plans], np.int64) for k in (0, 1))
+    blocks = np.array([-(-x // block_words) for x in sizes], np.int64)
     groups = -(-int(quotas.sum()) // (shard_slots * SHARDS))
-    slots = spark.range(0, groups, 1, max(1, min(groups, 10_000))).mapInPandas(_slots(seed, shard_slots, spark.sparkContext.broadcast((quotas, blocks))), "shard long, source_no long, slot long, block long")
-    # Times that a block is taken whole, and the words of it that the source's last slot takes.
-    last = F.col("slot") == F.col("quota") - 1
-    taken = slots.join(sources.select("source_no", "quota", "last_words"), "source_no").groupBy("source_no", "block").agg(F.sum(F.when(last, 0).otherwise(1)).alias("times"), F.max(F.when(last, F.col("last_words"))).alias("cut"))
+    slots = spark.range(0, groups, 1, max(1, min(groups, 10_000))).mapInPandas(_slots(seed, shard_slots, spark.sparkContext.broadcast((quotas, blocks, last_words))), "shard long, source_no long, slot long, block long, cut long")
+    # Times that a block is taken whole, and the words of it that the source's last slot takes. Slots come from a few numbers, so the
+    # planner takes them for a small table: joins with them merge.
+    taken = slots.groupBy("source_no", "block").agg(F.sum(F.when(F.col("cut").isNull(), 1).otherwise(0)).alias("times"), F.max("cut").alias("cut"))
     b = F.lit(block_words)
     low, high = F.greatest("start", F.col("block") * b), F.least("end", (F.col("block") + 1) * b)
     cut = F.greatest(F.lit(0), F.least(high, F.col("block") * b + F.coalesce("cut", F.lit(0))) - low)
     keys = ["source_no", "start", "doc_id", "size", "source_size", "target"]
     parts = placed.select(*keys, "end", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b))).alias("block"))
-    words = parts.join(taken, ["source_no", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum((high - low) * F.col("times") + cut), F.lit(0)).cast("long").alias("taken"))
+    words = parts.join(taken.hint("merge"), ["source_no", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum((high - low) * F.col("times") + cut), F.lit(0)).cast("long").alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
-    return words.select(*out).unionByName(known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out)), slots
+    return words.select(*out).unionByName(known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out)), slots.drop("cut")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:
