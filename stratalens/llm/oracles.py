@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from stratalens.llm.media import ROW, WIDTH
 from stratalens.llm.quality import ALPHA, DELTA, GRIDS, LEVELS
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -58,3 +59,38 @@ CAST(len(list_filter(list_transform(regexp_extract_all(t, '[0-9](?:[ -]?[0-9])+'
 CAST(len(list_filter(regexp_extract_all(t, '\+[0-9][ ().0-9-]+[0-9]'), lambda m: length({_DIGITS('m')}) BETWEEN 10 AND 15)) AS BIGINT) AS n_phone
 FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 """
+
+#: The reflected checksum of polynomial 0xEDB88320: its table, and the fold over a text's bytes in hexadecimal.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_BYTES = "list_transform(regexp_extract_all({0}, '..'), lambda x: CAST('0x' || x AS BIGINT))".format
+_CRC = "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {0}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)".format
+
+#: Stored payloads: a header, then the text's bytes up to whole rows. Items before the payload are the lines with characters other than white space.
+MEDIA = rf"""
+WITH {_CRC_TABLE},
+p AS (SELECT doc_id, coalesce(text, '') AS text, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+q AS (SELECT doc_id, text, n_bytes, greatest(CAST(ceil(n_bytes / {ROW}) AS BIGINT), 1) AS h FROM p),
+r AS (SELECT *, text || repeat(' ', h * {ROW} - n_bytes) AS payload, 'P6' || chr(10) || '{WIDTH} ' || h || chr(10) || '255' || chr(10) AS header FROM q),
+s AS (SELECT *, {_BYTES("hex(encode(payload))")} AS b FROM r)
+SELECT doc_id, n_bytes, h * {ROW} AS payload_bytes, sha256(payload) AS payload_sha256, {_CRC("b[-16:]")} AS tail_crc32, h * {ROW} + length(header) AS media_bytes, sha256(header || payload) AS media_sha256,
+'{WIDTH}x' || h || ' rgb ' || CAST(list_sum(b[1:len(b):3]) // (h * {WIDTH}) AS BIGINT) || ',' || CAST(list_sum(b[2:len(b):3]) // (h * {WIDTH}) AS BIGINT) || ',' || CAST(list_sum(b[3:len(b):3]) // (h * {WIDTH}) AS BIGINT) || ' range ' || list_min(b) || '-' || list_max(b) || ' distinct ' || list_unique(b) AS feature,
+CAST(len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^ \t\n\f\r]'))) AS INTEGER) AS position, n_bytes || ' bytes' AS caption
+FROM s, crc
+"""
+
+_ALPHABET = "abcdefghijklmnopqrstuvwxyz"
+#: Near words by what is left of them without a letter.
+VARIANTS = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_ALPHABET.upper()}', '{_ALPHABET}'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents),
+g AS (SELECT w, count(*) AS m, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM r GROUP BY doc_id, w),
+c AS (SELECT w, m, {_CRC(_BYTES("x"))} AS h FROM g, crc),
+d AS (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, m FROM c),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM d WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+v AS (SELECT word, n, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM w)),
+p AS (SELECT a.word AS x, b.word AS y, b.n FROM v a JOIN v b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT v.word, w.word, w.n FROM v JOIN w ON v.rest = w.word UNION SELECT w.word, v.word, v.n FROM v JOIN w ON v.rest = w.word),
+b AS (SELECT x, y, n, count(*) OVER (PARTITION BY x) AS n_near, row_number() OVER (PARTITION BY x ORDER BY n DESC, y) AS k FROM p),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN y END AS form, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n FROM w LEFT JOIN b ON b.x = w.word AND k = 1),
+z AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL SELECT z.word, f.form, steps + 1 FROM z JOIN f ON z.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(root, steps) AS root FROM z GROUP BY word) USING (word)
+"""

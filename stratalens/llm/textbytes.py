@@ -6,12 +6,15 @@ come from a few numpy passes. Batches are cut into slices of bounded size; a tex
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 1 << 19
+#: Longer spans get a cryptographic digest: polynomials modulo 2^64 take different sequences of some thousand bytes for equal.
+POLYNOMIAL_BYTES = 256
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _rng = np.random.default_rng(20240229)
@@ -63,17 +66,30 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Spans:
-    """Hashes of any byte spans of one buffer, by prefix sums of a polynomial modulo 2^64 over random byte values."""
+    """Hashes of any byte spans of one buffer: up to POLYNOMIAL_BYTES by prefix sums of a polynomial modulo 2^64 over random byte values,
+    beyond that by 64 bits of BLAKE2."""
 
     def __init__(self, raw: np.ndarray):
         n = raw.size
+        self._raw = raw
         power, self._inverse = _power_tables(n + 1)
         self._sums = np.zeros(n + 1, np.uint64)
         np.cumsum(_BYTE[raw] * power[:n], out=self._sums[1:])
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         value = (self._sums[end] - self._sums[start]) * self._inverse[start]
-        return mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        out = mix64(value + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        for k in np.flatnonzero(end - start > POLYNOMIAL_BYTES):
+            out[k] = int.from_bytes(hashlib.blake2b(self._raw[start[k] : end[k]], digest_size=8).digest(), "little")
+        return out
+
+    def whole(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The bare polynomials of spans, which `without` compares with: equal for equal bytes, not always different for others."""
+        return (self._sums[end] - self._sums[start]) * self._inverse[start]
+
+    def without(self, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The polynomials of spans that lack the byte `at`."""
+        return (self._sums[at] - self._sums[start]) * self._inverse[start] + (self._sums[end] - self._sums[at + 1]) * self._inverse[start + 1]
 
     def windows(self, width: int) -> np.ndarray:
         """Of every window of `width` bytes, by its start."""
