@@ -252,9 +252,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     members = _mixed(nodes, found, 0, BANDS)
     left = texts.join(members.select("doc_id", "component").distinct().hint("merge"), "doc_id")
     pairs = prefix_pairs(left, width, threshold)
-    stars = _estimated(pairs, sketches, threshold)
-    linked(stars.select("u", "v"))
-    discard(members, pairs, stars)
+    linked(pairs)
+    discard(members, pairs)
     collect_garbage(spark)
     component = found.withColumnRenamed("node", "key_n")
     by_class = classes.join(component.hint("merge"), classes.node == component.key_n, "left").select("sig_a", "sig_b", F.coalesce("component", "node").alias("component"))
