@@ -77,14 +77,18 @@ def revoke(acl: DataFrame, revoked: DataFrame) -> DataFrame:
 
 
 def accessible(users: DataFrame, resources: DataFrame, members: DataFrame, grants: DataFrame, role_permissions: DataFrame, action: str = "read") -> DataFrame:
-    """Resources on which users may act: user_id, resource_id. Candidates come from ownership, grants, team membership and public
-    visibility, so users aren't paired with resources that nothing joins them to; public ones are everyone's by definition."""
+    """Resources on which users may act: user_id, resource_id. Candidates come from ownership, grants and team membership, so users aren't
+    paired with resources that nothing joins them to. What is public anyone may read: one row a resource, whose null user_id stands
+    for every user, also those who have a row of their own."""
     pick = lambda df: df.select("user_id", "resource_id")
     owned = pick(resources.join(users.select(F.col("user_id").alias("owner")), "owner").withColumn("user_id", F.col("owner")))
     granted = pick(grants.join(users, "user_id", "left_semi"))
     shared = pick(members.join(users, "user_id", "left_semi").join(resources, "team"))
     asked = owned.unionByName(granted).unionByName(shared).distinct().withColumn("action", F.lit(action))
-    return decisions(asked, resources, members, grants, role_permissions).filter("allowed").select("user_id", "resource_id")
+    own = decisions(asked, resources, members, grants, role_permissions).filter("allowed").select("user_id", "resource_id")
+    if action != "read":
+        return own
+    return own.unionByName(resources.filter("visibility = 'public'").select(F.lit(None).cast(dict(users.dtypes)["user_id"]).alias("user_id"), "resource_id").distinct())
 
 
 def export_access(acl: DataFrame) -> DataFrame:

@@ -105,6 +105,17 @@ def q_accessible(spark, sf_dir):
     return R.accessible(users.select("user_id"), orders, members, none, spark.createDataFrame([("viewer", "read")], "role string, action string"))
 
 
+@query("""SELECT c_custkey AS user_id, o_orderkey AS resource_id FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal < 0 UNION ALL SELECT NULL, o_orderkey FROM orders WHERE o_orderpriority = '5-LOW'""")
+def q_accessible_public(spark, sf_dir):
+    """Customers in debt read their own orders, and anyone reads those of low priority."""
+    users = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_custkey").alias("user_id"))
+    visibility = F.when(F.col("o_orderpriority") == "5-LOW", "public").otherwise("team")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("resource_id"), F.col("o_custkey").alias("owner"), F.lit(None).cast("string").alias("team"), visibility.alias("visibility"))
+    none = spark.createDataFrame([], "user_id long, resource_id long, role string")
+    members = spark.createDataFrame([], "user_id long, team string, role string")
+    return R.accessible(users, orders, members, none, spark.createDataFrame([("viewer", "read")], "role string, action string"))
+
+
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'view'")
 def q_pending(spark, sf_dir):
     edits = table(spark, sf_dir, "events").withColumn("status", F.when(F.col("event_type") == "view", "pending").otherwise("approved"))

@@ -6,14 +6,13 @@ extend or join batches until the watermark has passed them.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.operators.catalog import latest
+from stratalens.sources.staging import shared_folder
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,21 +21,10 @@ def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder below that of spark.checkpoint.dir; a local one only where the executors run in the driver's process."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="stratalens-streams-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def run_available(df: DataFrame) -> DataFrame:
     """Run a streaming aggregate over what is there, and return its result table. Each micro-batch's whole result goes to files of its
     own, so nothing is kept on the driver, and a batch that is run again writes the same ones."""
-    spark, out = df.sparkSession, _folder(df.sparkSession, "stream")
+    spark, out = df.sparkSession, shared_folder(df.sparkSession, "stream")
     last = []
 
     def keep(batch: DataFrame, batch_id: int) -> None:

@@ -103,8 +103,9 @@ def test_blocking_joins_lose_nothing(spark):
     assert sorted(map(tuple, found)) == sorted((i, j) for i, t in long for j, p in short if t and p and p in t)
     sets = [(i, sorted({f"w{(i * k) % 17}" for k in range(1, 2 + i % 9)})) for i in range(60)]
     one = spark.createDataFrame(sets, "i int, a array<string>")
-    pairs = {(r.i, r.j) for r in blocking.alike(one, one.toDF("j", "b"), "a", "b", 0.5).collect()}
-    assert {(i, j) for i, x in sets for j, y in sets if len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))} <= pairs
+    pairs = [(tuple(r.a), tuple(r.b)) for r in blocking.alike(one, one.toDF("j", "b"), "a", "b", 0.5).collect()]
+    assert len(pairs) == len(set(pairs))
+    assert {(tuple(x), tuple(y)) for _, x in sets for _, y in sets if len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))} <= set(pairs)
     rows = [(i, float(i * 7 % 101), i + 1) for i in range(100)]
     got = {r.id: r.before for r in blocking.sums_before(spark.createDataFrame(rows, "id int, at double, n long"), "at", "n").collect()}
     assert got == {i: sum(n for _, b, n in rows if b > a) for i, a, _ in rows}
