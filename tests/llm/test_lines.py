@@ -52,3 +52,12 @@ def test_edge_cases(spark):
     rows = sorted((r.doc_id or 99, r.text, r.seq or 0, r.line_dedup.n_removed) for r in lines.dedup_lines(docs).collect() if r.text is not None)
     assert rows == [(2, "", 0, 0), (3, line, 0, 0), (4, "own", 0, 1), (4, "own", 1, 1), (5, "", 0, 2), (99, "", 0, 1)]
     assert lines.dedup_lines(docs.limit(0)).count() == 0
+
+
+def test_long_lines_that_differ_stay(spark):
+    """Lines of 0 and 1 by the parity of the bits of their places, and their complements: equal under any polynomial modulo 2^64."""
+    bits = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    other = bits.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"word{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, f"{bits} {tail}"), (2, f"{other} {tail}")], "doc_id long, text string")
+    assert [r.text for r in lines.dedup_lines(docs).orderBy("doc_id").collect()] == [f"{bits} {tail}", f"{other} {tail}"]

@@ -114,3 +114,11 @@ def test_ids_with_several_texts_are_one_node(spark):
     rows = [(1, a), (2, b), (3, a), (3, b), (3, b), (4, c), (0, c), (5, "p q r")]
     got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect())
     assert got == [(0, 0, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False), (3, 1, False), (4, 0, False), (5, 5, True)]
+
+
+def test_long_words_that_differ_are_not_shared(spark):
+    """Words of 0 and 1 by the parity of the bits of their places, and their complements, between the same short ones."""
+    bits = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    words = [bits, bits.translate(str.maketrans("ab", "ba"))]
+    docs = spark.createDataFrame([(k, f"one {w} two") for k, w in enumerate(words)], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, width=2).collect()} == {0: 0, 1: 1}
