@@ -34,7 +34,7 @@ from stratalens.llm.textbytes import slices, text_bytes
 
 RATIO = 0.1
 #: Items below so many bytes are searched exactly.
-SHORT = 64
+SHORT = 100
 #: Bytes of a window; walks, and tables of each; tables in which a candidate agrees at least.
 BLOCK, WALKS, TABLES, AGREE = 24, 1, 16, 2
 #: Symbols that a table samples for up to BLOCKS blocks of items; one more, and more tables, for every fourfold beyond.
@@ -45,8 +45,9 @@ VERIFIED, BLOCK_EDITS, LOCAL = 32, 5, 0.25
 LONG_WORD = 16
 #: Neighbourhoods of up to 2^BANDED pieces are compared for all anchors side by side, larger ones one by one.
 BANDED = 2
-#: Items of a block are sent to all executors; larger benchmarks are taken in several blocks.
-BLOCK_BYTES = 8 << 20
+#: Items of a block are sent to all executors, with an index of some 70 bytes for each of theirs; larger benchmarks are taken in several
+#: blocks.
+BLOCK_BYTES = 1 << 20
 _PAD = 0
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
 
@@ -121,7 +122,7 @@ def build(items: list[tuple[int, str | None]], ratio: float = RATIO) -> dict:
     padded = np.concatenate([index["flat"], np.zeros(2 * BLOCK + 2, np.uint8)])
     for keys in embedded(padded, index["begin"][index["block_item"]] + index["block_low"], index["walks"]) if index["block_item"].size else ():
         order = np.argsort(keys, kind="stable")
-        index["tables"].append((keys[order], order, _bitmap(keys)))
+        index["tables"].append((keys[order], order.astype(np.int32), _bitmap(keys)))
     return index
 
 
@@ -133,8 +134,8 @@ def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _bitmap(keys: np.ndarray) -> np.ndarray:
-    """A bitmap of about sixteen bytes for each key: small ones stay in the processor's cache."""
-    bits = min(24, max(12, (16 * keys.size).bit_length()))
+    """A bitmap of about sixteen bytes for each key, a megabyte at most: small ones stay in the processor's cache."""
+    bits = min(20, max(12, (16 * keys.size).bit_length()))
     seen = np.zeros(1 << bits, bool)
     seen[_slot(keys, bits)] = True
     return seen
@@ -142,7 +143,7 @@ def _bitmap(keys: np.ndarray) -> np.ndarray:
 
 def word_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Where windows start in normalised texts: at words, and within long ones (scripts without spaces) where a hash of the next four
-    bytes says so, about every eighth byte, which an item and its copies agree on."""
+    bytes says so, about every fourth byte, which an item and its copies agree on, wherever in a word they begin."""
     first = np.zeros(raw.size + 1, bool)
     first[1:] = raw == 32
     first[at[:-1]] = True
@@ -150,14 +151,14 @@ def word_starts(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(first)
     if not starts.size:
         return starts
-    size = np.diff(np.append(starts, raw.size)) - LONG_WORD
-    long = size > 0
-    begin, size = starts[long] + LONG_WORD, size[long]
+    size = np.diff(np.append(starts, raw.size)) - 1
+    long = size >= LONG_WORD
+    begin, size = starts[long] + 1, size[long]
     inner = np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(size.sum())
     inner = inner[inner + 4 <= raw.size]
     inner = inner[raw[inner] != 32]
     four = raw[inner].astype(np.uint32) | raw[inner + 1].astype(np.uint32) << np.uint32(8) | raw[inner + 2].astype(np.uint32) << np.uint32(16) | raw[inner + 3].astype(np.uint32) << np.uint32(24)
-    return np.union1d(starts, inner[(four * np.uint32(0x9E3779B1)) >> np.uint32(29) == 0]) if inner.size else starts
+    return np.union1d(starts, inner[(four * np.uint32(0x9E3779B1)) >> np.uint32(30) == 0]) if inner.size else starts
 
 
 def walks(blocks: int) -> list[tuple[np.ndarray, list[list[int]]]]:

@@ -143,3 +143,34 @@ def test_edge_cases(spark):
     assert all(not r.contamination for r in D.contamination(docs, bench.limit(0)).collect()) and D.contamination(docs.limit(0), bench).count() == 0
     split = D.contamination(docs, bench, block_bytes=30)
     assert sorted((r.doc_id or 0, [m.item_id for m in r.contamination]) for r in split.collect()) == rows
+
+
+def test_recall_without_spaces():
+    """Items within longer words, of two alphabets, at every allowed distance: at least 0.9, exact copies all."""
+    rng = np.random.default_rng(7)
+    draw = lambda letters, n: "".join(letters[int(k)] for k in rng.integers(0, len(letters), n))
+    for letters, size in (("0123456789abcdef", 64), ("0123456789abcdef", 120), ("0123456789abcdef", 200), ([chr(0x4E00 + k) for k in range(3000)], 22), ([chr(0x4E00 + k) for k in range(3000)], 50)):
+        items = [(k, draw(letters, size)) for k in range(60)]
+        index = D.build(items)
+        bytes_ = len(items[0][1].encode())
+        for edits in sorted({0, size // 20, bytes_ // 10 // (bytes_ // size)}):
+            copies = []
+            for _, text in items:
+                out = list(text)
+                for k in rng.choice(size, edits, replace=False):
+                    out[k] = draw(letters, 1)
+                copies.append(draw(letters, 200) + "".join(out) + draw(letters, 200))
+            found = D.find(pa.array(copies, pa.large_string()), index)
+            recall = np.mean([k in {m[0] for m in row} for (k, _), row in zip(items, found, strict=True)])
+            assert recall >= (0.9 if edits else 1.0), (size, edits, recall)
+
+
+def test_index_of_a_whole_block_is_small():
+    rng = np.random.default_rng(9)
+    words = ["".join(chr(97 + int(c)) for c in rng.integers(0, 26, int(n))) for n in rng.integers(2, 9, 3000)]
+    items, total = [], 0
+    while total < D.BLOCK_BYTES:
+        items.append((len(items), " ".join(words[int(k)] for k in rng.integers(0, 3000, 60))))
+        total += len(items[-1][1])
+    index = D.build(items)
+    assert sum(x.nbytes for table_ in index["tables"] for x in table_) < 100e6
