@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalens.operators.catalog import latest
-from stratalens.sources.staging import shared_folder
+from stratalens.sources import buckets as B
+from stratalens.sources.staging import drop, shared_folder, written
 
 
 def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,33 +65,30 @@ def maintain(df: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint:
 
 def upsert_into(path: str, keys: list[str], order: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
     """A foreachBatch function that keeps a Parquet table of the latest row of each key by `order` (rows equal in it: the largest), also
-    where a batch has a key several times or brings an older row than the table has. Rows are dealt into buckets of their keys, and a batch
-    writes new versions of the buckets that it touches alone; one that is run again writes the same folders. `current` reads the table."""
+    where a batch has a key several times or brings an older row than the table has. Rows are dealt into buckets of their keys; a batch
+    writes new versions of the buckets that it touches alone, and one that is run again changes nothing. `current` reads the table,
+    `buckets.purge` deletes what was replaced."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        columns = batch.columns
-        newest = lambda rows: latest(rows, ["bucket", *keys], [F.desc(c) for c in (*order, *[c for c in columns if c not in keys and c not in order])])
-        now = newest(batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets))))
-        before = current(spark, path, batch_id)
-        if before is not None:
-            now = newest(before.join(F.broadcast(now.select("bucket").distinct()), "bucket", "left_semi").select("bucket", *columns).unionByName(now.select("bucket", *columns)))
-        out = now.select(*columns, "bucket").withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
+        spark, columns = batch.sparkSession, batch.columns
+        if B.has(spark, path, batch_id):
+            return
+        order_by = [F.desc(c) for c in (*order, *[c for c in columns if c not in keys and c not in order])]
+        bucketed = lambda rows: rows.select(*columns, B.bucket_of(*keys, buckets=buckets).alias("bucket"))
+        now = written(latest(bucketed(batch), ["bucket", *keys], order_by), "batch")
+        touched = [r[0] for r in now.select("bucket").distinct().collect()]
+        before = bucketed(B.read(spark, path, batch.schema, batch_id - 1, touched))
+        B.replace(latest(before.unionByName(now), ["bucket", *keys], order_by), path, batch_id, touched)
+        drop(now)
 
     return apply
 
 
-def current(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
-    """The table kept by upsert_into (with its bucket), of the batches under `before` if that is given; None where there is none yet.
-    Versions are chosen by the names of folders, so older ones aren't read."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        return None
-    rows = spark.read.parquet(path)
-    rows = rows if before is None else rows.filter(F.col("batch") < before)
-    versions = rows.groupBy("bucket").agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(versions), ["bucket", "batch"], "left_semi").drop("batch")
+def current(spark: SparkSession, path: str, version: int | None = None) -> DataFrame | None:
+    """The table kept by upsert_into, of the newest batch or one before; None where there is none yet. Only the folders that the version
+    names are opened."""
+    known = [f"{path}/{folder}/bucket={k}" for k, folder in B.folders(spark, path, version).items()]
+    return spark.read.parquet(*known) if known else None
 
 
 def name_status(diff: DataFrame) -> DataFrame:
