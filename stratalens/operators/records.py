@@ -55,10 +55,12 @@ def cascade(tables: dict[str, DataFrame], gone: DataFrame, key: str) -> dict[str
     return {name: without(table, gone, key) for name, table in tables.items()}
 
 
-def set_fields(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Partial updates: every column of `changes` (key, some others) that isn't null replaces the table's; several changes of one key
-    aren't expected."""
-    fields = [c for c in changes.columns if c != key]
+def set_fields(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Partial updates: every column of `changes` (key, some others) that isn't null replaces the table's. Of several changes of one key
+    each column takes its last value by `order` (the largest one without an order), so every row of the table stays one row."""
+    fields = [c for c in changes.columns if c not in (key, order)]
+    last = (lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.struct(order, c)))) if order else F.max
+    changes = changes.groupBy(key).agg(*[last(c).alias(c) for c in fields])
     both = table.join(changes.select(key, *[F.col(c).alias(f"new_{c}") for c in fields]), key, "left")
     return both.select(*[F.coalesce(f"new_{c}", c).alias(c) if c in fields else c for c in table.columns])
 

@@ -14,9 +14,8 @@ from stratalens.operators import code as K
 from stratalens.sources.files import any_of, base_name
 from stratalens.sources.tables import lines
 
-# Words of sensitive paths, and indicators of processes.
+#: Words of paths that a summary of a request treats as sensitive: our own choice. validation.file_checks has the fixed rules.
 SENSITIVE_WORDS = ["password", "secret", "key", "token", "credential", "auth"]
-PROCESS_WORDS = ["service", "daemon", "server", "worker"]
 
 
 def function_report(files: DataFrame) -> DataFrame:

@@ -38,20 +38,8 @@ GRAPHS = {
 }
 
 
-@pytest.mark.parametrize("name", GRAPHS)
-def test_components(spark, name):
-    edges = GRAPHS[name]
-    reach = _reach(edges)
-    members = {n: {m for m in reach if m in reach[n] and n in reach[m]} | {n} for n in reach}
-    found = {r.node: (r.component, r.size) for r in C.strong_components(_edges(spark, edges + edges)).collect()}
-    assert found == {n: (min(m), len(m)) for n, m in members.items()}
-    assert {r.node for r in C.cyclic_nodes(_edges(spark, edges)).collect()} == {n for n in reach if n in reach[n]}
-
-
-@pytest.mark.parametrize("name", GRAPHS)
-def test_shortest_cycles(spark, name):
-    edges = set(GRAPHS[name])
-    reach = _reach(edges)
+def _shortest(edges, reach):
+    """A shortest cycle through the least node of each component, the first in order."""
     want = {}
     for least in {min(m for m in reach if m in reach[n] and n in reach[m]) for n in reach if n in reach[n]}:
         paths = [[least]]
@@ -61,7 +49,18 @@ def test_shortest_cycles(spark, name):
                 want[least] = min(ended)
             paths = [[*p, d] for p in paths for s, d in edges if s == p[-1] and d not in p]
             paths = [p for p in paths if not any(q[-1] == p[-1] and q < p for q in paths)]
-    assert {r.component: r.cycle for r in C.shortest_cycles(_edges(spark, list(edges))).collect()} == want
+    return want
+
+
+@pytest.mark.parametrize("name", GRAPHS)
+def test_components_and_cycles(spark, name):
+    edges = GRAPHS[name]
+    reach = _reach(edges)
+    members = {n: {m for m in reach if m in reach[n] and n in reach[m]} | {n} for n in reach}
+    components = C.strong_components(_edges(spark, edges + edges))
+    assert {r.node: (r.component, r.size) for r in components.collect()} == {n: (min(m), len(m)) for n, m in members.items()}
+    assert {r.node for r in C.cyclic_nodes(_edges(spark, edges), components).collect()} == {n for n in reach if n in reach[n]}
+    assert {r.component: r.cycle for r in C.shortest_cycles(_edges(spark, edges), components).collect()} == _shortest(set(edges), reach)
 
 
 def test_no_edges_and_nulls(spark):

@@ -1,9 +1,10 @@
 """Operators on small inputs with known answers, nulls, and empty tables."""
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from stratalens.functions import text as T
-from stratalens.operators import blocking, catalog, code, collect, graph, reports, scan, search
+from stratalens.operators import blocking, catalog, code, collect, graph, records, reports, scan, search
 from stratalens.sources import files, manifests
 from stratalens.sources.corpus import FILES, MANIFESTS
 from stratalens.plans import review_queries
@@ -151,3 +152,21 @@ def test_poetry_locks(spark):
     text = '[[package]]\nname = "flask"\nversion = "2.3.2"\n\n[[package]]\nname = "numpy"\nversion = "1.26.0"\n'
     rows = manifests.lock_blocks(spark.createDataFrame([("a/poetry.lock", text), ("b/Cargo.lock", text)], "path string, content string"), "poetry.lock").collect()
     assert sorted((r.path, r.name, r.version) for r in rows) == [("a/poetry.lock", "flask", "2.3.2"), ("a/poetry.lock", "numpy", "1.26.0")]
+
+
+def test_partial_updates_keep_one_row(spark):
+    table = spark.createDataFrame([(1, "a", 10), (2, "b", 20), (3, None, 30)], "k int, v string, n int")
+    changes = spark.createDataFrame([(1, "x", None, 1), (1, "y", None, 3), (1, None, 7, 2), (3, None, None, 1), (9, "z", 1, 1)], "k int, v string, n int, at int")
+    assert sorted(map(tuple, records.set_fields(table, changes, "k", "at").collect())) == [(1, "y", 7), (2, "b", 20), (3, None, 30)]
+    assert sorted(map(tuple, records.set_fields(table, changes.drop("at"), "k").collect())) == [(1, "y", 7), (2, "b", 20), (3, None, 30)]
+
+
+def test_public_resources_are_everyones(spark):
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")
+    resources = spark.createDataFrame([(10, 1, "t", "team"), (11, 9, "t", "public"), (12, 9, "u", "private")], "resource_id int, owner int, team string, visibility string")
+    members = spark.createDataFrame([(2, "t", "viewer")], "user_id int, team string, role string")
+    none = spark.createDataFrame([], "user_id int, resource_id int, role string")
+    roles = spark.createDataFrame([("viewer", "read")], "role string, action string")
+    found = records.accessible(users, resources, members, none, roles).collect()
+    assert sorted(map(str, found)) == sorted(map(str, [Row(user_id=1, resource_id=10), Row(user_id=2, resource_id=10), Row(user_id=2, resource_id=11), Row(user_id=None, resource_id=11)]))
+    assert records.accessible(users, resources, members, none, roles, "write").count() == 1
