@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import bounded_batches, collect_garbage, discard, table, written
+from stratalens.llm.storage import bounded_batches, collect_garbage, discard, small_steps, table, written
 from stratalens.llm.textbytes import Spans, slices, text_bytes, word_spans
 
 MIN_WORDS = 50
@@ -122,29 +122,31 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, into: str = "line_d
     levels = runs.agg(F.max("level")).first()[0]
     names = repeated.select(*_AT, "seq", F.col("id").alias("name"))
     removed, used = [], [repeated, runs]
-    for level in range((-1 if levels is None else levels) + 1):
-        half = 1 << level
-        last = names.select(*_AT, F.col("seq").alias("end"), F.col("name").alias("name_end"))
-        named = runs.filter(F.col("level") == level).join(names, [*_AT, "seq"]).withColumn("end", F.col("seq") + F.col("size") - half).join(last, [*_AT, "end"])
-        named = written(named.select(*_AT, "seq", "size", "name", "name_end"), "named")
-        used.append(named)
-        first = named.groupBy("size", "name", "name_end").agg(F.min(F.struct(*_AT, "seq")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-        removed.append(named.join(first, ["size", "name", "name_end"]).filter(F.struct(*_AT, "seq") > F.col("first")).select(*_AT, "seq", "size"))
-        if level < levels:
-            after = names.select(*_AT, (F.col("seq") - half).alias("seq"), F.col("name").alias("next"))
-            pairs = written(names.join(after, [*_AT, "seq"]), "pairs")
-            twice = pairs.groupBy("name", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "next")
-            ranked = written(twice.repartitionByRange("name", "next").sortWithinPartitions("name", "next").withColumn("rank", F.monotonically_increasing_id()), "ranks")
-            names = written(pairs.join(ranked, ["name", "next"]).select(*_AT, "seq", F.col("rank").alias("name")), "names")
-            discard(pairs, ranked)
-            used.append(names)
-        collect_garbage(spark)
+    with small_steps(spark):
+        for level in range((-1 if levels is None else levels) + 1):
+            half = 1 << level
+            last = names.select(*_AT, F.col("seq").alias("end"), F.col("name").alias("name_end"))
+            named = runs.filter(F.col("level") == level).join(names, [*_AT, "seq"]).withColumn("end", F.col("seq") + F.col("size") - half).join(last, [*_AT, "end"])
+            named = written(named.select(*_AT, "seq", "size", "name", "name_end"), "named")
+            used.append(named)
+            first = named.groupBy("size", "name", "name_end").agg(F.min(F.struct(*_AT, "seq")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+            removed.append(named.join(first, ["size", "name", "name_end"]).filter(F.struct(*_AT, "seq") > F.col("first")).select(*_AT, "seq", "size"))
+            if level < levels:
+                after = names.select(*_AT, (F.col("seq") - half).alias("seq"), F.col("name").alias("next"))
+                pairs = written(names.join(after, [*_AT, "seq"]), "pairs")
+                twice = pairs.groupBy("name", "next").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "next")
+                ranked = written(twice.repartitionByRange("name", "next").sortWithinPartitions("name", "next").withColumn("rank", F.monotonically_increasing_id()), "ranks")
+                names = written(pairs.join(ranked, ["name", "next"]).select(*_AT, "seq", F.col("rank").alias("name")), "names")
+                discard(pairs, ranked)
+                used.append(names)
+            collect_garbage(spark)
     if not removed:
         return base.withColumn(into, F.struct(F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_runs"))).drop(*_AT)
     every = removed[0]
     for more in removed[1:]:
         every = every.union(more)
-    ranges = written(every.groupBy(*_AT).agg(F.collect_list(F.struct("seq", "size")).alias("__ranges")), "line-ranges")
+    with small_steps(spark):
+        ranges = written(every.groupBy(*_AT).agg(F.collect_list(F.struct("seq", "size")).alias("__ranges")), "line-ranges")
     discard(*used)
     collect_garbage(spark)
     cut = F.pandas_udf(_cut, "text string, n_lines long, n_removed long, n_runs long")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratalens.llm.storage import table, written
+from stratalens.llm.storage import collect_garbage, discard, small_steps, table, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS = 4
@@ -194,7 +194,11 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 8192, seed:
     parts = placed.select(*keys, "end", F.explode(F.sequence(F.floor(F.col("start") / b), F.floor((F.col("end") - 1) / b))).alias("block"))
     words = parts.join(taken.hint("merge"), ["source_no", "block"], "left").groupBy(*keys).agg(F.coalesce(F.sum((high - low) * F.col("times") + cut), F.lit(0)).cast("long").alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
-    return words.select(*out).unionByName(known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out)), slots.drop("cut")
+    collect_garbage(spark)
+    with small_steps(spark):
+        documents = written(words.select(*out).unionByName(known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out)), "mix")
+    discard(sized)
+    return documents, slots.drop("cut")
 
 
 def op5_mix(spark, sf_dir: str) -> DataFrame:

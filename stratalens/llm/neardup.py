@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratalens.llm.components import components
-from stratalens.llm.storage import bounded_batches, collect_garbage, derived, discard, table, written
+from stratalens.llm.storage import bounded_batches, collect_garbage, derived, discard, small_steps, table, written
 from stratalens.llm.textbytes import Spans, lower_ascii, mix64, slices, text_bytes, word_spans
 
 BANDS, ROWS = 64, 8
@@ -200,6 +200,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, threshold: int = THRESHOLD)
     have empty sets and are linked with nothing; rows without an id have no component and are kept; rows with the same id
     are one node, which has the links of all their texts. Other columns are ignored; an empty table gives one.
     """
+    with small_steps(docs.sparkSession):
+        return _near_duplicates(docs, width, threshold)
+
+
+def _near_duplicates(docs: DataFrame, width: int, threshold: int) -> DataFrame:
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))

@@ -7,6 +7,7 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -82,5 +83,18 @@ def collect_garbage(spark: SparkSession) -> None:
         time.sleep(pause)
 
 
+@contextmanager
+def small_steps(spark: SparkSession) -> Iterator[None]:
+    """For iterations of many small jobs: plans run without code generation for whole stages, so that the driver doesn't generate and
+    compile code for hundreds of stages that are each run once."""
+    name = "spark.sql.codegen.wholeStage"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
