@@ -94,16 +94,27 @@ def quota(size: int, target: float, block_words: int, seed: int, source: int) ->
     return epochs * blocks + slots, rest - before(slots - 1)
 
 
+#: Counts beyond which numpy's generator isn't defined; standard deviations around the mode beyond which no draw falls (less than 1e-30).
+EXACT, WIDTH = 10**9, 12
+
+
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """How many of `n` draws without return are good; by its normal limit where the counts are beyond the exact generator."""
+    """How many of `n` draws without return are good. Beyond EXACT by inversion of the same law: its values around the mode come from one
+    another by the ratio of neighbours."""
     low, high = max(0, n - bad), min(n, good)
     if low == high:
         return low
-    if good < 10**9 and bad < 10**9:
+    if good < EXACT and bad < EXACT:
         return int(rng.hypergeometric(good, bad, n))
     share = good / (good + bad)
-    spread = (n * share * (1 - share) * (good + bad - n) / (good + bad - 1)) ** 0.5
-    return min(high, max(low, round(n * share + spread * rng.standard_normal())))
+    spread = int(WIDTH * (n * share * (1 - share) * (good + bad - n) / (good + bad - 1)) ** 0.5) + WIDTH
+    mode = (n + 1) * (good + 1) // (good + bad + 2)
+    low, high = max(low, mode - spread), min(high, mode + spread)
+    k = np.arange(low, high, dtype=np.float64)
+    steps = np.log(good - k) + np.log(n - k) - np.log(k + 1) - np.log(bad - n + k + 1)
+    weight = np.concatenate([[0.0], np.cumsum(steps)])
+    total = np.cumsum(np.exp(weight - weight.max()))
+    return min(high, low + int(np.searchsorted(total, rng.random() * total[-1], "right")))
 
 
 def dealt(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:

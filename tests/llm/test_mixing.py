@@ -78,3 +78,18 @@ def test_edge_cases(spark):
     rows = mixing.mix(docs)[0].collect()
     assert len(rows) == 5 and sum(r.taken for r in rows) == 4
     assert mixing.mix(docs.limit(0))[0].count() == 0 and mixing.mix(docs.filter("source = 'a'"))[0].count() == 2
+
+
+def test_draws_beyond_the_generator_follow_the_same_law(monkeypatch):
+    """By inversion as by the generator, for counts that both can draw; and sensible for those that only inversion can."""
+    rng = np.random.default_rng(5)
+    for good, bad, n in ((30, 70, 20), (5, 3, 4), (1000, 10, 500), (7, 900, 50)):
+        plain = rng.hypergeometric(good, bad, n, 20_000)
+        monkeypatch.setattr(mixing, "EXACT", 1)
+        drawn = np.array([mixing._hypergeometric(rng, good, bad, n) for _ in range(20_000)])
+        monkeypatch.undo()
+        top = max(plain.max(), drawn.max()) + 1
+        apart = np.abs(np.cumsum(np.bincount(plain, minlength=top)) - np.cumsum(np.bincount(drawn, minlength=top))).max() / 20_000
+        assert apart < 0.02
+    draws = [mixing._hypergeometric(rng, 3 * 10**10, 10**10, 4 * 10**9) for _ in range(50)]
+    assert abs(np.mean(draws) - 3 * 10**9) < 5 * 26_000 / 50**0.5
