@@ -189,15 +189,20 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 8192, seed:
     wider = wider.select("source_no", "wide", (F.sum("wide_words").over(Window.partitionBy("source_no").orderBy("wide")) - F.col("wide_words")).alias("wide_before"))
     within = F.sum("words").over(Window.partitionBy("source_no", "wide").orderBy("bucket")) - F.col("words")
     before = sums.withColumn("within", within).join(wider, ["source_no", "wide"]).select("source_no", "bucket", (F.col("wide_before") + F.col("within")).alias("before"))
+    # One job for each step, with few shuffles at a time: a task of any shuffle takes memory of the driver while it runs.
+    with small_steps(spark):
+        before = written(before, "mix-buckets")
+        collect_garbage(spark)
     within = Window.partitionBy("source_no", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = full.withColumn("end", F.sum("size").over(within)).join(before, ["source_no", "bucket"]).withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("size"))
     quotas, last_words = (np.array([p[k] for p in plans], np.int64) for k in (0, 1))
     blocks = np.array([-(-x // block_words) for x in sizes], np.int64)
     groups = -(-int(quotas.sum()) // (shard_slots * SHARDS))
     slots = spark.range(0, groups, 1, max(1, min(groups, 10_000))).mapInPandas(_slots(seed, shard_slots, spark.sparkContext.broadcast((quotas, blocks, last_words))), "shard long, source_no long, slot long, block long, cut long")
-    # Times that a block is taken whole, and the words of it that the source's last slot takes. Slots come from a few numbers, so the
-    # planner takes them for a small table: joins with them merge.
-    taken = slots.groupBy("source_no", "block").agg(F.sum(F.when(F.col("cut").isNull(), 1).otherwise(0)).alias("times"), F.max("cut").alias("cut"))
+    # Times that a block is taken whole, and the words of it that the source's last slot takes. They are as many as the corpus has blocks:
+    # joins with them merge at every size.
+    with small_steps(spark):
+        taken = written(slots.groupBy("source_no", "block").agg(F.sum(F.when(F.col("cut").isNull(), 1).otherwise(0)).alias("times"), F.max("cut").alias("cut")), "mix-blocks")
     b = F.lit(block_words)
     low, high = F.greatest("start", F.col("block") * b), F.least("end", (F.col("block") + 1) * b)
     cut = F.greatest(F.lit(0), F.least(high, F.col("block") * b + F.coalesce("cut", F.lit(0))) - low)
@@ -208,7 +213,7 @@ def mix(docs: DataFrame, block_words: int = 128, shard_slots: int = 8192, seed:
     collect_garbage(spark)
     with small_steps(spark):
         documents = written(words.select(*out).unionByName(known.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*out)), "mix")
-    discard(sized)
+    discard(sized, before, taken)
     return documents, slots.drop("cut")
 
 

@@ -86,14 +86,17 @@ def collect_garbage(spark: SparkSession) -> None:
 @contextmanager
 def small_steps(spark: SparkSession) -> Iterator[None]:
     """For iterations of many small jobs: plans run without code generation for whole stages, so that the driver doesn't generate and
-    compile code for hundreds of stages that are each run once."""
-    name = "spark.sql.codegen.wholeStage"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    compile code for hundreds of stages that are each run once, and their descriptions, which the driver renews after every stage and
+    keeps, are cut."""
+    settings = {"spark.sql.codegen.wholeStage": "false", "spark.sql.maxPlanStringLength": "8192"}
+    before = {name: spark.conf.get(name) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -93,3 +93,21 @@ def test_draws_beyond_the_generator_follow_the_same_law(monkeypatch):
         assert apart < 0.02
     draws = [mixing._hypergeometric(rng, 3 * 10**10, 10**10, 4 * 10**9) for _ in range(50)]
     assert abs(np.mean(draws) - 3 * 10**9) < 5 * 26_000 / 50**0.5
+
+
+def test_each_job_has_few_shuffles_and_short_descriptions(spark, sf, monkeypatch):
+    from stratalens.llm import mixing, storage
+
+    shuffles, lengths = [], []
+
+    def written(df, tag, *rest):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.append(plan.count("Exchange hashpartitioning"))
+        lengths.append(spark.conf.get("spark.sql.maxPlanStringLength"))
+        return storage.written(df, tag, *rest)
+
+    monkeypatch.setattr(mixing, "written", written)
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    mixing.mix(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert max(shuffles) <= 7 and set(lengths[1:]) == {"8192"}, (shuffles, lengths)
+    assert spark.conf.get("spark.sql.maxPlanStringLength") == before
