@@ -32,7 +32,6 @@ MARK = "▁"
 KEPT = 200_000
 #: Pre-tokens, of at most so many bytes, whose terminals are sent to all executors: 32 MB at most.
 HOT, HOT_BYTES = 1 << 17, 1 << 8
-_SPACES = str.maketrans(dict.fromkeys("\x09\x0a\x0b\x0c\x0d", " "))
 
 
 def load(path: str = VOCABULARY) -> tuple[dict[str, float], float]:
@@ -89,21 +88,26 @@ def count_tokens(words: list[str], pieces: dict[str, float], byte_score: float)
     return Walk(pieces, byte_score).tokens(words)
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(filter(None, text.translate(_SPACES).split(" "))) if text else Counter()
+def words_of(texts: pa.Array) -> Iterator[list[bytes]]:
+    """The words of each text, in UTF-8: of bytes, white space is \\x20 and \\x09-\\x0D alone."""
+    return (t.split() if t else [] for t in texts.cast(pa.binary()).to_pylist())
+
+
+def _strings(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string())
 
 
 def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pre-tokens with their counts, added up over as much of a task as fits."""
 
     def out(found: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
+        return pa.RecordBatch.from_arrays([_strings(list(found)), pa.array(list(found.values()), pa.int64())], ["word", "n"])
 
     seen: Counter = Counter()
     for batch in batches:
         for part in slices(batch):
-            for text in part.column("text").to_pylist():
-                seen.update(words_of(text))
+            for words in words_of(part.column("text")):
+                seen.update(words)
             if len(seen) > KEPT:
                 yield out(seen)
                 seen = Counter()
@@ -128,14 +132,21 @@ def _documents(shared):
         known = shared.value
         for batch in batches:
             for part in slices(batch):
-                each = [words_of(t) for t in part.column("text").to_pylist()]
-                rare = [[(w, n) for w, n in c.items() if w not in known] for c in each]
-                ends = [0]
-                for r in rare:
-                    ends.append(ends[-1] + len(r))
-                flat = pa.StructArray.from_arrays([pa.array([w for r in rare for w, _ in r], pa.string()), pa.array([n for r in rare for _, n in r], pa.int64())], ["word", "times"])
-                hot = [sum(known[w] * n for w, n in c.items() if w in known) for c in each]
-                columns = [part.column("doc_id"), pa.array([c.total() for c in each], pa.int64()), pa.array([len(c) for c in each], pa.int64()), pa.array(hot, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
+                sizes, distinct, hot, ends, rare, times = [], [], [], [0], [], []
+                for words in words_of(part.column("text")):
+                    counts, total = Counter(words), 0
+                    for w, n in counts.items():
+                        if (tokens := known.get(w)) is None:
+                            rare.append(w)
+                            times.append(n)
+                        else:
+                            total += tokens * n
+                    sizes.append(len(words))
+                    distinct.append(len(counts))
+                    hot.append(total)
+                    ends.append(len(rare))
+                flat = pa.StructArray.from_arrays([_strings(rare), pa.array(times, pa.int64())], ["word", "times"])
+                columns = [part.column("doc_id"), *(pa.array(x, pa.int64()) for x in (sizes, distinct, hot)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_pretokens", "n_distinct", "hot", "rest"])
 
     return run
@@ -154,7 +165,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, hot: int = HOT)
     terminals = written(words.repartitionByRange("word").sortWithinPartitions("word").mapInArrow(_terminals(model), "word string, n long, tokens long"), "terminals")
     collect_garbage(spark)
     often = terminals.filter(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot).select("word", "tokens").collect()
-    known = spark.sparkContext.broadcast({r.word: r.tokens for r in often})
+    known = spark.sparkContext.broadcast({r.word.encode(): r.tokens for r in often})
     each = written(docs.mapInArrow(_documents(known), DOCUMENTS).withColumn("row", F.monotonically_increasing_id()), "token-documents")
     rare = each.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.times").join(terminals.select("word", "tokens"), "word")
     sums = rare.groupBy("row").agg(F.sum(F.col("times") * F.col("tokens")).alias("rare"))
