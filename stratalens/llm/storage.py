@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -77,10 +78,29 @@ def discard(*tables: DataFrame | None) -> None:
 
 def collect_garbage(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps, once more after its listeners have let go of them, and gives memory of the
-    driver back that many small stages have taken."""
+    driver back that many small stages have taken: the heap's by collections, then what the JVM has freed outside its heap."""
     for pause in (0.2, 0.0):
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)
+    trim_native(spark)
+
+
+def trim_native(spark: SparkSession) -> bool:
+    """Gives the system back what the driver's JVM has freed outside its heap and the C library keeps, mostly memory of its compilers; that
+    grows with every stage planned. False where the JVM has no such command: it then keeps the memory."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    # By the public interface: the server's own class is closed to callers.
+    kinds = gateway.new_array(jvm.java.lang.Class, 4)
+    for k, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[k] = jvm.java.lang.Class.forName(kind)
+    given = gateway.new_array(jvm.java.lang.Object, 4)
+    given[0], given[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    try:
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, given)
+    except Py4JJavaError:
+        return False
+    return True
 
 
 @contextmanager
