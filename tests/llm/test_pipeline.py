@@ -1,6 +1,8 @@
 import re
+from pathlib import Path
 
 import corpus_pipeline as P
+from stratalens.llm.storage import collect_garbage
 from tests.llm.test_lines import _plain as plain_lines
 from tests.llm.test_neardup import _plain as plain_near
 
@@ -56,3 +58,18 @@ def test_rows_that_share_an_id_stay_unless_equal_or_near(spark, sf):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     stay = [(1, text(3)), (1, text(5)), (3, text(7)), (4, text(11)), (4, text(13)), (5, None), (5, text(17))]
     assert _collect(P.near_stage(spark, docs, sf)) == sorted(stay, key=str)
+
+
+def test_memory_that_the_driver_freed_outside_its_heap_goes_back(spark):
+    jvm = spark.sparkContext._jvm
+    status = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/smaps_rollup"
+    taken = lambda: int(re.search(r"\nPss_Anon:\s+(\d+)", Path(status).read_text())[1]) / 1024
+    held = jvm.java.util.ArrayDeque()
+    for _ in range(2_000):
+        held.addLast(jvm.java.nio.ByteBuffer.allocateDirect(100_000))
+    last = held.peekLast()  # behind what is freed, so that the C library keeps the rest
+    collect_garbage(spark)
+    before = taken()
+    held.clear()
+    collect_garbage(spark)
+    assert before - taken() > 100 and last.capacity() == 100_000
